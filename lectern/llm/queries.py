@@ -103,6 +103,26 @@ def p5_chapter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_table(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text"), "chapter_id", "text")
 
 
+# --- 8: evaluation texts in the corpus ---------------------------------------------
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.leaks import leaked_items
+
+    return leaked_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "eval_items", "item_id", "text"))
+
+
+# --- 9: languages --------------------------------------------------------------------
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.langid import language_cases
+
+    return language_cases(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.langid import language_segments
+
+    return language_segments(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
