@@ -97,6 +97,7 @@ BEFORE_FIGURE = set(
 )
 #: Abbreviations that may stand at a sentence's end.
 AT_END = set("etc usw u.a u.ä u.s.w a.m p.m a.c d.c b.c a.d inc ltd co corp jr sr.jr bros dept и.т.д т.д т.п др пр др u.dgl vv aa am pm m.a ph.d".split())
+_ABBREVIATIONS = BEFORE_NAME | BEFORE_FIGURE | AT_END
 MONTHS = set(
     "januar jänner februar märz april mai juni juli august september oktober november dezember "
     "januára februára jh jahrhundert kapitel klasse tag stock etage auflage band mal".split()
@@ -134,6 +135,16 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 def _dot_ends(text: str, at: int, end: int) -> bool:
     """Whether the single full stop ``text[at:end]`` ends a sentence."""
     nxt = text[end : end + 1]
+    # By far the most frequent case: a plain word before, a blank behind.
+    word_at = text.rfind(" ", max(0, at - 24), at) + 1
+    plain = text[word_at:at]
+    if word_at and len(plain) > 1 and plain.isalpha() and plain.lower() not in _ABBREVIATIONS:
+        if not nxt or nxt in "\r\n":
+            return True
+        if nxt == " ":
+            follow = text[end + 1 : end + 2]
+            if follow.isalpha():
+                return not follow.islower()
     prev = text[at - 1 : at]
     if not prev or prev.isspace():
         return not (nxt.isalnum())
