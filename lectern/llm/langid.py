@@ -32,7 +32,7 @@ from lectern.llm.arrowio import map_texts, spread, str_col
 from lectern.llm.units import units_of
 
 LANGS = ("en", "zh", "fr", "de", "es", "pt", "ru", "ja", "hi")
-SAMPLE_DOCS = 240
+SAMPLE_DOCS = 160
 SAMPLE_CHARS = 400_000
 CLUSTERS = 2
 BITS = 15
@@ -143,7 +143,8 @@ def _dense(key: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
     f, tf = np.unique(key, return_counts=True)
     x[f >> BITS, f & ((1 << BITS) - 1)] = 1 + np.log(tf)
     x *= idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:

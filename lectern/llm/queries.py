@@ -103,6 +103,26 @@ def p5_chapter_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units_table(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text"), "chapter_id", "text")
 
 
+# --- 6: broken pairs ------------------------------------------------------------------
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pairs import pair_votes
+
+    segments = read(spark, sf_dir, "segments", "id", "job_id", "status", "source_text", "result_text", "error_message")
+    return pair_votes(segments, read(spark, sf_dir, "jobs", "id", "kind", "options"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pairs import first_defect
+
+    return first_defect(_votes(spark, sf_dir))
+
+
+def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pairs import defects
+
+    return defects(_votes(spark, sf_dir)).select(F.col("id").alias("segment_id"), "defect", F.round("posterior", 4).alias("posterior"))
+
+
 # --- 8: evaluation texts in the corpus ---------------------------------------------
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.leaks import leaked_items
