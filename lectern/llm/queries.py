@@ -75,6 +75,18 @@ def p3_clean_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(docs, repeated_lines(docs, books)).select(F.col("doc_id").alias("chapter_id"), "clean_text")
 
 
+# --- 4: sentences that render each other -----------------------------------------
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.align import aligned_units
+    from lectern.llm.arrowio import cut
+    from lectern.llm.pairs import first_defect
+
+    votes = cut(_votes(spark, sf_dir))
+    sound = votes.where("status = 'completed'").join(first_defect(votes).withColumnRenamed("segment_id", "id"), "id", "left_anti")
+    segments = read(spark, sf_dir, "segments", "id", "status", "source_text", "result_text").where("status = 'completed'")
+    return aligned_units(segments, sound.select("id", "sl", "target_lang"))
+
+
 # --- 5: sentence units -----------------------------------------------------------
 def units_table(df: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, start_pos, end_pos) of every unit of a text column."""
