@@ -135,6 +135,22 @@ def p6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defects(_votes(spark, sf_dir)).select(F.col("id").alias("segment_id"), "defect", F.round("posterior", 4).alias("posterior"))
 
 
+# --- 7: containers of tokens -------------------------------------------------------------
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.packing import pack, token_counts
+
+    return pack(token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.packing import packing_report
+
+    return packing_report(p7_packed(spark, sf_dir))
+
+
 # --- 8: evaluation texts in the corpus ---------------------------------------------
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.leaks import leaked_items
