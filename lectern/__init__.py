@@ -1,0 +1 @@
+"""Spark-native engine for long-form text and narration corpora."""

@@ -1,0 +1,239 @@
+"""Readers of books, pages and sound as DataFrames over ``binaryFile``.
+
+Each reader gives one row per file or part with an ``error`` column; a file
+that can't be read is a row with an error, never a failed job.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import wave
+import zipfile
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import unquote, urldefrag
+from xml.etree import ElementTree
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions.names import file_format, stem
+from lectern.functions.text import strip, unix_lines
+
+
+def binary_files(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(path, name, content, error) of files; above ``most`` bytes the content
+    isn't read and the row carries an error."""
+    df = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    if most is None:
+        return df.select("path", name.alias("name"), "content", F.lit(None).cast("string").alias("error"))
+    fits = F.col("length") <= most
+    return df.select("path", name.alias("name"), F.when(fits, F.col("content")).alias("content"), F.when(~fits, "file too large").alias("error"))
+
+
+def text_book(content: Column) -> tuple[Column, Column]:
+    """(text, error) of a UTF-8 file: one byte-order mark dropped, LF lines."""
+    raw = content.cast("string")
+    valid = F.is_valid_utf8(raw)
+    bom = F.when(F.substring(content, 1, 3) == F.lit(b"\xef\xbb\xbf"), F.substring(raw, 2, 2147483647)).otherwise(raw)
+    text = strip(unix_lines(bom))
+    error = F.when(~valid, "not UTF-8").when(text == "", "empty file")
+    return F.when(error.isNull(), text), error
+
+
+def read_text_books(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    files = binary_files(spark, path, most)
+    text, error = text_book(F.col("content"))
+    return files.select("path", stem("name").alias("title"), file_format("name").alias("source_format"), text.alias("full_text"), F.coalesce("error", error).alias("error"))
+
+
+class _Page(HTMLParser):
+    """Text of a page by lines, and its first title or h1."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.skip = 0
+        self.title: list[str] | None = None
+        self.in_title = ""
+        self.found = False
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("script", "style"):
+            self.skip += 1
+        if tag in ("title", "h1") and not self.found:
+            self.found, self.in_title, self.title = True, tag, []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("script", "style") and self.skip:
+            self.skip -= 1
+        if tag == self.in_title:
+            self.in_title = ""
+
+    def handle_data(self, data: str) -> None:
+        if not self.skip:
+            self.parts.append(data)
+            if self.in_title and self.title is not None:
+                self.title.append(data)
+
+
+def page_text(html: str) -> tuple[str, str | None]:
+    """(text, title): non-blank stripped lines; title pieces by one blank."""
+    p = _Page()
+    p.feed(html)
+    p.close()
+    lines = "\n".join(p.parts).replace("\r\n", "\n").replace("\r", "\n").splitlines()
+    title = " ".join(t for t in (x.strip() for x in p.title or []) if t)
+    return "\n".join(x.strip() for x in lines if x.strip()), title or None
+
+
+def pages_text(df: DataFrame, html: str = "html") -> DataFrame:
+    """``df`` with page_text and page_title of an HTML column."""
+
+    @F.pandas_udf("struct<page_text string, page_title string>")
+    def parse(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_text(x) if x is not None else (None, None) for x in s], columns=["page_text", "page_title"])
+
+    return df.withColumn("_p", parse(html)).select(*df.columns, "_p.page_text", "_p.page_title")
+
+
+def _href(href: str) -> str:
+    return posixpath.normpath(unquote(urldefrag(href)[0])).lstrip("./")
+
+
+def _tag(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _contents(z: zipfile.ZipFile, names: dict[str, str], base: str, manifest: dict[str, tuple[str, str, str]], toc_id: str | None) -> dict[str, str]:
+    """Title of each linked document, the first one given; from the NCX, else
+    from the navigation page."""
+    found: dict[str, str] = {}
+
+    def add(href: str, title: str, at: str) -> None:
+        full = _href(posixpath.join(posixpath.dirname(at), href))
+        if full and title.strip():
+            found.setdefault(full, title.strip())
+
+    ncx = manifest.get(toc_id or "", ("", "", ""))[0] or next((h for h, kind, _ in manifest.values() if kind == "application/x-dtbncx+xml"), "")
+    if ncx and ncx in names:
+        for point in (e for e in ElementTree.fromstring(z.read(names[ncx])).iter() if _tag(e) == "navPoint"):
+            label = next((t.text or "" for e in point if _tag(e) == "navLabel" for t in e if _tag(t) == "text"), "")
+            src = next((e.get("src", "") for e in point if _tag(e) == "content"), "")
+            if src:
+                add(src, label, ncx)
+    nav = next((h for h, _, p in manifest.values() if "nav" in p.split()), "")
+    if not found and nav and nav in names:
+        for e in ElementTree.fromstring(z.read(names[nav])).iter():
+            if _tag(e) == "a" and e.get("href"):
+                add(e.get("href", ""), "".join(e.itertext()), nav)
+    return found
+
+
+def epub_chapters(content: bytes, fallback: str) -> list[tuple[str, str]]:
+    """(title, text) of the documents of an EPUB in reading order."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names = {_href(n): n for n in z.namelist()}
+    root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+    opf = next(e.get("full-path", "") for e in root.iter() if _tag(e) == "rootfile")
+    package = ElementTree.fromstring(z.read(opf))
+    base = posixpath.dirname(opf)
+    manifest = {
+        e.get("id", ""): (_href(posixpath.join(base, e.get("href", ""))), e.get("media-type", ""), e.get("properties", ""))
+        for e in package.iter() if _tag(e) == "item"
+    }
+    spine = next(e for e in package.iter() if _tag(e) == "spine")
+    titles = _contents(z, names, base, manifest, spine.get("toc"))
+    out = []
+    for ref in (e for e in spine if _tag(e) == "itemref"):
+        href, kind, props = manifest.get(ref.get("idref", ""), ("", "", ""))
+        low = href.lower()
+        if kind not in ("application/xhtml+xml", "text/html") or "nav" in props.split() or low.endswith(("nav.xhtml", "toc.xhtml", "toc.ncx")):
+            continue
+        if titles and href not in titles or href not in names:
+            continue
+        text, own = page_text(z.read(names[href]).decode("utf-8", "replace"))
+        if text:
+            first = next((x.strip() for x in text.splitlines() if x.strip()), "")
+            out.append((titles.get(href) or own or first or posixpath.splitext(posixpath.basename(href))[0] or fallback, text))
+    return out
+
+
+def read_epub_chapters(files: DataFrame) -> DataFrame:
+    """(path, chapter_index, title, text, error) of EPUB files (path, name,
+    content)."""
+    schema = "path string, chapter_index int, title string, text string, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for path, name, content in zip(f["path"], f["name"], f["content"]):
+                try:
+                    if not content:
+                        raise ValueError("empty")
+                    got = epub_chapters(bytes(content), name.rpartition(".")[0] or name)
+                    error = None if got else "no readable text"
+                except Exception as e:  # noqa: BLE001 - any damage is a row with an error
+                    got, error = [], "empty file" if str(e) == "empty" else "could not parse EPUB"
+                rows += [(path, i, t, x, None) for i, (t, x) in enumerate(got)] or [(path, None, None, None, error)]
+            out = pd.DataFrame(rows, columns=["path", "chapter_index", "title", "text", "error"])
+            out["chapter_index"] = out["chapter_index"].astype("Int32")
+            yield out
+
+    return files.select("path", "name", "content").mapInPandas(run, schema)
+
+
+def decode_wav(content: bytes | None) -> tuple:
+    """(channels, sample_width, sample_rate, frames, samples, error); samples
+    of 16-bit PCM only."""
+    try:
+        with wave.open(io.BytesIO(content or b""), "rb") as w:
+            c, width, rate, n = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.getnframes()
+            data = w.readframes(n)
+    except (wave.Error, EOFError, OSError):
+        return None, None, None, None, None, "unreadable"
+    if width != 2:
+        return c, width, rate, n, None, "not 16-bit"
+    return c, width, rate, n, np.frombuffer(data[: len(data) // 2 * 2], dtype="<i2"), None
+
+
+def read_wav(files: DataFrame) -> DataFrame:
+    """Sound of WAV files (path, content) as rows of samples."""
+    schema = "path string, channels int, sample_width int, sample_rate int, frames int, duration_seconds double, samples array<smallint>, error string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                c, width, rate, n, s, error = decode_wav(None if content is None else bytes(content))
+                rows.append((path, c, width, rate, n, round(n / rate, 3) if n is not None and rate else None, s, error))
+            out = pd.DataFrame(rows, columns=["path", "channels", "sample_width", "sample_rate", "frames", "duration_seconds", "samples", "error"])
+            for k in ("channels", "sample_width", "sample_rate", "frames"):
+                out[k] = out[k].astype("Int32")
+            yield out
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def encode_wav(samples: np.ndarray, channels: int, rate: int) -> bytes:
+    buf = io.BytesIO()
+    with wave.open(buf, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.asarray(samples, dtype="<i2").tobytes())
+    return buf.getvalue()
+
+
+def wav_bytes(df: DataFrame, out: str = "content") -> DataFrame:
+    """``df`` (samples, channels, sample_rate) with the WAV file's bytes."""
+
+    @F.udf("binary", useArrow=True)
+    def encode(s: list | None, c: int | None, r: int | None) -> bytes | None:
+        return encode_wav(np.asarray(s, dtype=np.int16), c, r) if s is not None and c and r else None
+
+    return df.withColumn(out, encode("samples", "channels", "sample_rate"))
