@@ -94,8 +94,12 @@ def chapters_json(chapters: Column) -> Column:
 
 
 def chapter_rows(df: DataFrame, chapters: str, *keep: str) -> DataFrame:
-    """One row per chapter: index, title, text and its metadata."""
-    rows = df.select(*keep, F.posexplode(chapters).alias("chapter_index", "_c"))
+    """One row per chapter: index, title, text and its metadata.
+
+    The outer form of the generator keeps the optimiser from inferring a filter
+    that would compute the whole array once more; it gives a NULL row for a text
+    without chapters, which is dropped."""
+    rows = df.select(*keep, F.posexplode_outer(chapters).alias("chapter_index", "_c")).where("chapter_index is not null")
     return rows.select(
         *keep, F.col("chapter_index").cast("bigint").alias("chapter_index"), F.col("_c.title").alias("title"), F.col("_c.text").alias("text"),
         char_count(F.col("_c.text")).alias("char_count"), paragraph_count(F.col("_c.text")).alias("paragraph_count"),

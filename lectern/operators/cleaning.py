@@ -109,21 +109,26 @@ def cleaned(df: DataFrame, text: str, steps: Iterable[str], out: str = "clean_te
     """``df`` with the text after all steps in order, and an array of
     (operation, before_chars, after_chars, removed_lines), one of each step.
 
-    Each step is a column of its own in a chain of projections, so the optimiser
-    may neither repeat nor reorder it.
+    The chain is one expression in which the result of each step is bound once,
+    so the optimiser cannot repeat a step for each use of its result.
     """
     steps = list(steps)
     for s in steps:
         if s not in CLEANERS:
             raise ValueError(f"Unknown text cleaning operation: {s}")
-    columns = df.columns
-    df = df.withColumn("_now", F.col(text))
-    for k, s in enumerate(steps):
-        df = df.withColumn(f"_r{k}", CLEANERS[s](F.col("_now")))
-        stat = F.struct(
-            F.lit(s).alias("operation"), F.length("_now").cast("bigint").alias("before_chars"),
-            F.length(F.col(f"_r{k}.text")).cast("bigint").alias("after_chars"), F.col(f"_r{k}.removed_lines").alias("removed_lines"),
+    kind = "array<struct<operation:string,before_chars:bigint,after_chars:bigint,removed_lines:bigint>>"
+
+    def stat(name: str, before: Column, r: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("operation"), F.length(before).cast("bigint").alias("before_chars"),
+            F.length(r["text"]).cast("bigint").alias("after_chars"), r["removed_lines"].alias("removed_lines"),
         )
-        df = df.withColumn(f"_s{k}", stat).withColumn("_now", F.col(f"_r{k}.text"))
-    keep = [c for c in columns if c not in (out, stats)]
-    return df.select(*keep, F.col("_now").alias(out), F.array(*(F.col(f"_s{k}") for k in range(len(steps)))).alias(stats))
+
+    def run(k: int, now: Column, done: list[Column]) -> Column:
+        if k == len(steps):
+            return F.struct(now.alias("text"), F.array(*done).cast(kind).alias("stats"))
+        return let(CLEANERS[steps[k]](now), lambda r: run(k + 1, r["text"], [*done, stat(steps[k], now, r)]))
+
+    keep = [c for c in df.columns if c not in (out, stats)]
+    chain = let(F.col(text), lambda t: run(0, t, []))
+    return df.select(*keep, chain.alias("_r")).select(*keep, F.col("_r.text").alias(out), F.col("_r.stats").alias(stats))

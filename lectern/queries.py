@@ -12,6 +12,7 @@ from lectern.functions import jsons, names, text
 from lectern.functions.providers import apply_provider
 from lectern.functions.text import WS
 from lectern.operators import audio, chapters, cleaning, relational, segments
+from lectern.operators.partitioning import spread
 from lectern.plans import pipeline
 from lectern.streaming import progress
 
@@ -34,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, once: bool =
     """A table; ``once`` for those in which rows are delivered twice."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
-    return df.distinct() if once else df
+    df = df.distinct() if once else df
+    return spread(df) if "text" in cols or "full_text" in cols else df
 
 
 def long(c: Column | str) -> Column:
@@ -331,7 +333,7 @@ SELECT book_id, '第 ' || CAST(i + 1 AS VARCHAR) || ' 段' AS title, md5(substr(
 )
 def tvf_split_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = text.strip(text.unix_lines("full_text"))
-    df = table(spark, sf_dir, "parsed_books", "book_id", "full_text").select("book_id", F.explode(chapters.by_size(t, 2000)).alias("c"))
+    df = table(spark, sf_dir, "parsed_books", "book_id", "full_text").select("book_id", F.explode_outer(chapters.by_size(t, 2000)).alias("c")).where("c is not null")
     return df.select("book_id", "c.title", F.md5(F.col("c.text").cast("binary")).alias("text_md5"))
 
 
@@ -350,7 +352,7 @@ UNION ALL SELECT doc_id, '第 ' || CAST(i + 1 AS VARCHAR) || ' 段', md5(substr(
 FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 6000.0) AS BIGINT))) AS i FROM t WHERE doc_id NOT IN (SELECT doc_id FROM g WHERE heads >= 2))"""
 )
 def tvf_split_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(chapters.chapters_of(F.col("text"))).alias("c"))
+    df = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode_outer(chapters.chapters_of(F.col("text"))).alias("c")).where("c is not null")
     return df.select("doc_id", "c.title", F.md5(F.col("c.text").cast("binary")).alias("text_md5"), long(F.length("c.text")).alias("chars"))
 
 
