@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import map_texts, spread, str_col
+from lectern.llm.arrowio import cut, map_texts, spread, str_col
 
 #: Letters of other scripts by the Latin letter they look like.
 LATIN_LOOKALIKES = {
@@ -190,9 +190,10 @@ def same_looking_pairs(prints: DataFrame, kind: str = "item_kind") -> DataFrame:
 
     Groups of exact copies alone drop out before the join by a partial
     aggregate, so the join sees only groups that have something to report.
-    Rows given twice count once.
+    Rows given twice count once.  The slim prints are cut from lineage, so the
+    texts are read and folded once.
     """
-    rows = prints.select(kind, "item_id", "look", "raw").distinct()
+    rows = cut(prints.select(kind, "item_id", "look", "raw")).distinct()
     groups = rows.groupBy(kind, "look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(kind, "look")
     rows = rows.join(groups, [kind, "look"], "left_semi")
     left = rows.select(kind, "look", F.col("item_id").alias("left_id"), F.col("raw").alias("left_raw"))
