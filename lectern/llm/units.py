@@ -144,7 +144,7 @@ def _dot_ends(text: str, at: int, end: int) -> bool:
         if nxt == " ":
             follow = text[end + 1 : end + 2]
             if follow.isalpha():
-                return not follow.islower()
+                return len(plain) > 4 or not follow.islower()
     prev = text[at - 1 : at]
     if not prev or prev.isspace():
         return not (nxt.isalnum())
@@ -223,7 +223,8 @@ def _dot_ends(text: str, at: int, end: int) -> bool:
         return False
     if low in AT_END:
         return not (follow.islower() or follow.isdigit() or follow in ",;:")
-    return not follow.islower()
+    # Before a small letter: an unknown abbreviation if short, else an end.
+    return len(w) > 4 or not follow.islower()
 
 
 def events(text: str) -> tuple[list[int], list[int]]:
