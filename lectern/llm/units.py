@@ -20,6 +20,8 @@ import re
 
 import numpy as np
 
+from lectern.llm.look import CLASS_OF as LATIN_OF
+
 # --- symbols and states -----------------------------------------------------
 LINE, STOP, OPEN0, OPEN1, CLOSE, CLOSE_TAG, CLOSE_ON, CLOSE_IN, SKIP = range(9)
 #: Outside at or after a unit's start; outside after a quotation that goes on;
@@ -194,6 +196,8 @@ def _dot_ends(text: str, at: int, end: int) -> bool:
             return not (at - k <= 4 and nw and nw[0].lower() in MONTHS)
         return True
     low = w.lower()
+    if not w.isascii() and low not in _ABBREVIATIONS:
+        low = "".join(LATIN_OF.get(c, c) for c in w).lower()
     k = at - len(w)
     inner = k >= 2 and text[k - 1] == "." and text[k - 2].isalpha()
     spaced = k >= 3 and text[k - 1] in "   " and text[k - 2] == "." and text[k - 3].isalpha()
@@ -318,6 +322,22 @@ def _closing(text: str, start: int, closers: str) -> int:
     return min(found) if found else -1
 
 
+#: Characters that hide an abbreviation or a boundary from the rules.
+_ODD = re.compile(r"[\u00ad\u034f\u0300-\u036f\u2000-\u200f\u202a-\u202e\u205f-\u206f\ufe00-\ufe0f\ufeff\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff0e]")
+_NOT_SEEN = re.compile(r"[\u00ad\u034f\u0300-\u036f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
+_PLAINER = {c: 0x20 for c in (*range(0x2000, 0x200B), 0x205F)} | {c: c - 0xFEE0 for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), 0xFF0E)}
+
+
+def plain(text: str) -> tuple[str, list[int] | None]:
+    """The text without what isn't seen, wide letters narrow, and the offset of
+    each of its characters (and of its end) in the text as stored; no offsets
+    where nothing had to be changed."""
+    if text.isascii() or not _ODD.search(text):
+        return text, None
+    at = [i for i, c in enumerate(text) if not _NOT_SEEN.match(c)]
+    return _NOT_SEEN.sub("", text).translate(_PLAINER), [*at, len(text)]
+
+
 def units_of(texts: list[str | None]) -> list[list[tuple[int, int]]]:
     """Units (start, end) of every text of a batch."""
     symbols: list[int] = []
@@ -327,7 +347,10 @@ def units_of(texts: list[str | None]) -> list[list[tuple[int, int]]]:
         if not t:
             count.append(0)
             continue
-        s, e = events(t)
+        seen, at = plain(t)
+        s, e = events(seen)
+        if at is not None:  # a mark goes with what isn't seen behind it
+            e = [at[x] for x in e]
         symbols += s
         ends += e
         count.append(len(s))
