@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from lectern.functions.text import WS
 from lectern.operators import audio, chapters, cleaning, relational, segments
 from lectern.operators.partitioning import spread
 from lectern.plans import pipeline
+from lectern.sources import sinks
 from lectern.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -553,6 +555,172 @@ def aud_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(long("label").alias("label"), "parts", long(F.size("samples")).alias("frames"), F.md5(joined.cast("binary")).alias("samples_md5"))
 
 
+# --- more projections, filters and lookups --------------------------------------------
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE octet_length(encode(text)) <= 4096")
+def src_size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents", "doc_id", "text")
+    size = long(F.octet_length("text"))
+    return df.where(size <= 4096).select("doc_id", size.alias("bytes"))
+
+
+@query("SELECT c.id AS chapter_id, CAST(c.chapter_index AS BIGINT) AS chapter_index, c.title FROM chapters c WHERE c.book_id = (SELECT max(id) FROM books)")
+def src_chapters_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of the newest book; the lookup is a semi join on one row."""
+    book = table(spark, sf_dir, "books", "id").agg(F.max("id").alias("book_id"))
+    c = table(spark, sf_dir, "chapters", "id", "book_id", "chapter_index", "title").join(book, "book_id", "left_semi")
+    return c.select(F.col("id").alias("chapter_id"), long("chapter_index").alias("chapter_index"), "title")
+
+
+@query("SELECT c.id AS chapter_id, t.book_id IS NULL AS missing, CAST(length(t.full_text) AS BIGINT) AS chars FROM chapters c LEFT JOIN parsed_books t ON t.book_id = c.book_id AND t.source_format = 'txt'")
+def src_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts looked up by key; what isn't there is told, not dropped."""
+    texts = table(spark, sf_dir, "parsed_books", "book_id", "source_format", "full_text").where("source_format = 'txt'").select("book_id", long(F.length("full_text")).alias("chars"), F.lit(1).alias("there"))
+    c = table(spark, sf_dir, "chapters", "id", "book_id").withColumnRenamed("id", "chapter_id")
+    return c.join(texts, "book_id", "left").select("chapter_id", F.col("there").isNull().alias("missing"), "chars")
+
+
+@query(
+    """SELECT id AS job_id, CAST(CASE WHEN total_units <= 0 OR completed_units <= 0 THEN 0 ELSE least(100, greatest(0, floor(100.0 * completed_units / total_units + 0.5))) END AS BIGINT) AS percent,
+coalesce(map {'pending': 'waiting', 'running': 'at work', 'completed': 'done', 'failed': 'failed', 'stopped': 'stopped'}[status], nullif(status, ''), 'unknown') AS label FROM (SELECT DISTINCT id, total_units, completed_units, status FROM jobs)"""
+)
+def prj_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "jobs", "id", "total_units", "completed_units", "status", once=True)
+    share = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(100.0 * F.col("completed_units") / F.nullif(F.col("total_units"), F.lit(0)) + 0.5)))
+    percent = F.when((F.col("total_units") <= 0) | (F.col("completed_units") <= 0), 0).otherwise(share)
+    labels = F.create_map(*(F.lit(x) for kv in {"pending": "waiting", "running": "at work", "completed": "done", "failed": "failed", "stopped": "stopped"}.items() for x in kv))
+    return df.select(F.col("id").alias("job_id"), long(percent).alias("percent"), F.coalesce(labels[F.col("status")], F.nullif(F.col("status"), F.lit("")), F.lit("unknown")).alias("label"))
+
+
+@query("SELECT id AS chapter_id, format('{:,}', CAST(greatest(0, floor(char_count / 2.0 + 0.5)) AS BIGINT)) AS words FROM chapters")
+def prj_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.greatest(F.lit(0), F.floor(F.col("char_count") / 2.0 + 0.5))
+    return table(spark, sf_dir, "chapters", "id", "char_count").select(F.col("id").alias("chapter_id"), F.format_number(words, 0).alias("words"))
+
+
+@query(
+    """SELECT id AS chapter_id, CASE WHEN translation_path IS NOT NULL THEN 'translation' ELSE 'chapter' END AS source, coalesce(nullif(translation_path, ''), text_path) AS path,
+'/api/chapters/' || CAST(id AS VARCHAR) || '/text' AS url FROM chapters"""
+)
+def prj_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "chapters", "id", "translation_path", "text_path")
+    return df.select(
+        F.col("id").alias("chapter_id"), F.when(F.col("translation_path").isNotNull(), "translation").otherwise("chapter").alias("source"),
+        F.coalesce(F.nullif(F.col("translation_path"), F.lit("")), F.col("text_path")).alias("path"), F.concat(F.lit("/api/chapters/"), F.col("id").cast("string"), F.lit("/text")).alias("url"),
+    )
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({s_lines('text')}, lambda x: {s_noise('x')})) AS BIGINT) AS noisy FROM documents")
+def flt_short_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.size(F.filter(text.lines_with_ends("text"), lambda x: cleaning.is_short_noise(x)))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", long(noisy).alias("noisy"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)
+SELECT doc_id, {s_strip('x')} AS heading FROM l WHERE length({s_strip('x')}) BETWEEN 1 AND 80 AND regexp_matches({s_strip('x')}, '{_HEAD}')"""
+)
+def flt_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.filter(F.transform(F.split("text", "\n"), text.strip), chapters.is_heading)
+    df = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode_outer(found).alias("heading"))
+    return df.where("heading is not null")
+
+
+@query("SELECT c.chapter_id, unnest(range(0, len(c.ts))) AS tag_index, unnest(c.ts) AS tag FROM (SELECT id AS chapter_id, tags AS ts FROM chapters) c")
+def win_enumerated_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "chapters", "id", "tags")
+    return df.select(F.col("id").alias("chapter_id"), F.posexplode("tags").alias("i", "tag")).select("chapter_id", long("i").alias("tag_index"), "tag")
+
+
+@query(
+    f"""WITH p AS (SELECT c.book_id, c.chapter_index, 0 AS a, CAST(-1 AS BIGINT) AS o, c.audio_path AS p FROM chapters c WHERE c.audio_path IS NOT NULL
+UNION ALL SELECT c.book_id, c.chapter_index, 1, s.id, s.output_path FROM chapters c JOIN {_SEGS} s ON s.chapter_id = c.id WHERE s.output_path IS NOT NULL)
+SELECT book_id, count(DISTINCT p) AS n, arg_min(p, (chapter_index, a, o)) AS first_path FROM p GROUP BY book_id"""
+)
+def jn_book_audio_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "chapters", "id", "book_id", "chapter_index", "audio_path").withColumnRenamed("id", "chapter_id")
+    s = _segments(spark, sf_dir, "output_path").where("output_path is not null").select("chapter_id", F.lit(1).alias("a"), F.col("id").alias("o"), F.col("output_path").alias("p"))
+    parts = c.select("chapter_id", "book_id", "chapter_index").join(s, "chapter_id").drop("chapter_id")
+    whole = c.where("audio_path is not null").select("book_id", "chapter_index", F.lit(0).alias("a"), F.lit(-1).cast("bigint").alias("o"), F.col("audio_path").alias("p"))
+    return parts.unionByName(whole).groupBy("book_id").agg(F.count_distinct("p").alias("n"), F.min_by("p", F.struct("chapter_index", "a", "o")).alias("first_path"))
+
+
+@query(
+    """SELECT j.id AS job_id, p.priority, p.priority IS NULL AS unknown FROM (SELECT DISTINCT id, options ->> '$.provider' AS provider FROM jobs) j
+LEFT JOIN (VALUES ('alpha', 1), ('beta', 2)) p(provider, priority) ON p.provider = j.provider"""
+)
+def jn_option_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in a literal map of two entries; a missing key is told."""
+    df = table(spark, sf_dir, "jobs", "id", "options", once=True)
+    rank = F.create_map(F.lit("alpha"), F.lit(1), F.lit("beta"), F.lit(2))[jsons.strict_text(jsons.parsed("options"), "provider")]
+    return df.select(F.col("id").alias("job_id"), rank.alias("priority"), rank.isNull().alias("unknown"))
+
+
+@query(
+    """SELECT book_id, count(*) AS chapters, md5(string_agg(title, chr(10) ORDER BY chapter_index)) AS titles_md5, bool_or(length(text) > 6000) AS any_long, bool_and(length(text) > 0) AS all_filled FROM parsed_chapters GROUP BY book_id"""
+)
+def agg_book_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are reduced to their lengths before the shuffle."""
+    df = table(spark, sf_dir, "parsed_chapters", "book_id", "chapter_index", "title", "text").select("book_id", "chapter_index", "title", F.length("text").alias("n"))
+    titles = segments.reassembled(df, ["book_id"], "chapter_index", "title", "\n", "titles")
+    rest = df.groupBy("book_id").agg(F.count("*").alias("chapters"), F.bool_or(F.col("n") > 6000).alias("any_long"), F.bool_and(F.col("n") > 0).alias("all_filled"))
+    return rest.join(titles, "book_id").select("book_id", "chapters", F.md5(F.col("titles").cast("binary")).alias("titles_md5"), "any_long", "all_filled")
+
+
+@query("SELECT id AS segment_id, left(error_message, 1000) AS error, regexp_extract(error_message, 'HTTP ([0-9]{3})', 1) AS code FROM (SELECT DISTINCT id, error_message FROM segments) WHERE error_message IS NOT NULL")
+def str_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "segments", "id", "error_message", once=True).where("error_message is not null")
+    return df.select(F.col("id").alias("segment_id"), F.left("error_message", F.lit(1000)).alias("error"), F.regexp_extract("error_message", "HTTP ([0-9]{3})", 1).alias("code"))
+
+
+@query(
+    """SELECT id AS book_id, CASE WHEN last IN ('', '.', '..') THEN NULL ELSE last END AS upload_name, replace(source_path, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) AS listed
+FROM (SELECT id, source_path, list_last(string_split(replace('up' || chr(92) || 'dir/' || original_filename, chr(92), '/'), '/')) AS last FROM books)"""
+)
+def str_upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "books", "id", "original_filename", "source_path")
+    return df.select(F.col("id").alias("book_id"), names.upload_name(F.concat(F.lit("up\\dir/"), F.col("original_filename"))).alias("upload_name"), names.concat_list_escaped("source_path").alias("listed"))
+
+
+@query("SELECT id AS chapter_id, to_json({'id': id, 'title': title, 'index': chapter_index}) AS doc FROM chapters")
+def snk_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "chapters", "id", "title", "chapter_index")
+    return df.select(F.col("id").alias("chapter_id"), F.to_json(F.struct("id", "title", F.col("chapter_index").alias("index"))).alias("doc"))
+
+
+@query(
+    """SELECT 'job-' || CAST(job_id AS VARCHAR) AS archive, id AS segment_id, CASE WHEN output_path = '' OR contains(output_path, chr(92)) OR output_path LIKE '/%' OR regexp_matches(output_path, '(^|/)[.][.](/|$)') OR regexp_matches(output_path, '^[./]*$') THEN NULL ELSE output_path END AS archive_name
+FROM (SELECT DISTINCT id, job_id, output_path FROM segments) WHERE output_path IS NOT NULL"""
+)
+def snk_archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _segments(spark, sf_dir, "output_path").where("output_path is not null")
+    entries = s.select(F.concat(F.lit("job-"), F.col("job_id").cast("string")).alias("archive"), F.col("segment_index").alias("position"), F.col("output_path").alias("path"), F.col("id").alias("segment_id"))
+    return sinks.archive_manifest(entries).select("archive", "segment_id", "archive_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY book_id, chapter_index) AS new_id, book_id, CAST(chapter_index AS BIGINT) AS chapter_index FROM parsed_chapters")
+def snk_assigned_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids in order without a window over the whole table."""
+    df = table(spark, sf_dir, "parsed_chapters", "book_id", "chapter_index").select("book_id", long("chapter_index").alias("chapter_index"))
+    return relational.numbered(df, ["book_id", "chapter_index"], "new_id").select("new_id", "book_id", "chapter_index")
+
+
+@query(
+    f"""WITH r(k, a) AS (SELECT id % 6, {s_strip('title')} FROM chapters), b AS (SELECT id AS chapter_id, id % 6 AS k, title AS t FROM chapters)
+SELECT chapter_id, CASE k WHEN 0 THEN 'x,y' WHEN 1 THEN 'x,y' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN 'x,y' ELSE '' END AS tags, CASE WHEN k IN (0, 4) THEN {s_strip('t')} END AS title FROM b"""
+)
+def jsn_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of six shapes: fenced JSON, a bare array, a list of words, NULL,
+    JSON within prose, JSON of another kind."""
+    df = table(spark, sf_dir, "chapters", "id", "title")
+    doc = F.to_json(F.struct(F.array(F.lit("#x"), F.lit(" y"), F.lit("x")).alias("tags"), F.col("title")))
+    k = F.col("id") % 6
+    answer = (
+        F.when(k == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).when(k == 1, F.lit('["x", "y", "x"]')).when(k == 2, F.lit("x，x、 x"))
+        .when(k == 4, F.concat(F.lit("Here it is: "), doc, F.lit(" Enjoy."))).when(k == 5, F.lit("17"))
+    )
+    return df.withColumn("a", answer).select(F.col("id").alias("chapter_id"), F.array_join(jsons.answer_tags("a"), ",").alias("tags"), jsons.answer_field("a", "title").alias("title"))
+
+
 # --- external functions, streams, pipelines --------------------------------------------------
 @query("SELECT DISTINCT id AS segment_id, 'completed' AS status, '译文：' || source_text AS result FROM segments")
 def udf_fake_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,11 +738,10 @@ def stm_windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
     ev = raw.select("event_id", "ts", F.col("user_id").alias("job_id"), status.alias("status"))
-    name = f"progress_{abs(hash(sf_dir)) % 10**8}"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    at = f"{base}/{name}-{spark.sparkContext.applicationId}" if base else tempfile.mkdtemp()
-    progress.run_once(progress.windowed_progress(ev, "1 day", late=None), name, at)
-    return spark.table(name).select("window_start", "job_id", "events", "completed", "failed")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    at = f"{base}/progress-{uuid.uuid4().hex}"
+    done = progress.run_once(progress.windowed_progress(ev, "1 day", late=None), f"{at}/out", f"{at}/state")
+    return done.select("window_start", "job_id", "events", "completed", "failed")
 
 
 @query()

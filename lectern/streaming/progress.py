@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 SEGMENT_EVENTS = "event_id bigint, ts timestamp, job_id bigint, segment_id bigint, status string, revision bigint, result string"
 
@@ -58,9 +57,16 @@ def upsert_newest(target: str, key: str = "segment_id") -> Callable[[DataFrame,
     return write
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Process all that is there and stop; results in a table of memory (for
-    reports and tests)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, target: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Process all that is there, stop, and read the result back from ``target``,
+    a folder all executors share.  In complete mode each batch replaces the
+    table; in append mode each batch has a folder of its own, so a repeated batch
+    replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        at = target if mode == "complete" else f"{target}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(at)
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return q
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -124,11 +124,12 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(ev, "event_id bigint, ts string, job_id bigint, segment_id bigint, status string, revision bigint, result string").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "ev"))
     stream = progress.read_events(spark, str(tmp_path / "ev"))
-    progress.run_once(progress.newest_result(stream), "newest", str(tmp_path / "c1"))
-    assert [(r.segment_id, r.result) for r in spark.table("newest").collect()] == [(1, "new")]
-    progress.run_once(progress.windowed_progress(stream, late="1 hour"), "win", str(tmp_path / "c2"), "append")
-    progress.run_once(progress.windowed_progress(stream, late=None), "all", str(tmp_path / "c3"))
-    assert sum(r.events for r in spark.table("all").collect()) == 4
+    newest = progress.run_once(progress.newest_result(stream), str(tmp_path / "o1"), str(tmp_path / "c1"))
+    assert [(r.segment_id, r.result) for r in newest.collect()] == [(1, "new")]
+    closed = progress.run_once(progress.windowed_progress(stream, late="1 minute"), str(tmp_path / "o2"), str(tmp_path / "c2"), "append")
+    assert sum(r.events for r in closed.collect()) == 2  # the repeated event once, the last window still open
+    every = progress.run_once(progress.windowed_progress(stream, late=None), str(tmp_path / "o3"), str(tmp_path / "c3"))
+    assert sum(r.events for r in every.collect()) == 4
     write = progress.upsert_newest(str(tmp_path / "t"))
     write(df.where("revision = 2").select("segment_id", "job_id", "revision", "result"), 0)
     write(df.where("revision = 1 and status = 'completed'").select("segment_id", "job_id", "revision", "result"), 1)
