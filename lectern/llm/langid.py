@@ -39,6 +39,8 @@ BITS = 15
 #: Least cosine with the nearest centroid, least lead over another language's,
 #: and least letters (signs count three) of a unit that speaks for itself.
 MIN_COSINE, MIN_LEAD, MIN_LETTERS = 0.10, 0.03, 12
+#: Characters that a unit has to keep without its quoted phrases.
+MIN_SIGNS = 6
 
 #: Universal Declaration of Human Rights, article 1.
 SEEDS = {
@@ -58,6 +60,22 @@ SEEDS = {
 _ADDRESS = re.compile(r"[A-Za-z0-9:/@_.~#?=&%+-]*[A-Za-z0-9][./@_][A-Za-z0-9][A-Za-z0-9:/@_.~#?=&%+-]*")
 
 
+#: A short phrase in quotation marks that isn't speech: no stop or comma in it,
+#: none behind it.
+_PHRASE = re.compile(r"(?:“[^“”.!?,;:…。！？，\n]{1,48}”|«[^«».!?,;:…\n]{1,48}»|„[^„“”.!?,;:…\n]{1,48}[“”])(?!\s?[,—–-])")
+
+
+def _own_words(part: str) -> str:
+    """A unit without addresses and quoted phrases, unless little is left."""
+    if part.find(".", 0, -1) >= 0 or "/" in part or "@" in part or "_" in part:
+        part = _ADDRESS.sub(" ", part)
+    if "“" in part or "«" in part or "„" in part:
+        rest = _PHRASE.sub(" ", part)
+        if len(rest) != len(part) and sum(map(str.isalpha, rest)) >= MIN_SIGNS:
+            return rest
+    return part
+
+
 def label_code(label: str | None) -> str | None:
     """The language of a label as delivered, or None."""
     code = re.split(r"[-_]", (label or "").strip().lower())[0]
@@ -92,7 +110,7 @@ def features(texts: list[str], owners: list[list[tuple[int, int]]]) -> tuple[np.
     """(owner << BITS | feature) of every n-gram, sorted, and each owner's
     letters and signs.  Owners are the ranges of all texts in order."""
     kinds, lower = _tables()
-    parts = [_ADDRESS.sub(" ", p) if p.find(".", 0, -1) >= 0 or "/" in p or "@" in p or "_" in p else p for t, own in zip(texts, owners) for p in (t[a:b] for a, b in own)]
+    parts = [_own_words(p) for t, own in zip(texts, owners) for p in (t[a:b] for a, b in own)]
     n = len(parts)
     lens = np.fromiter((len(p) + 2 for p in parts), dtype=np.int64, count=n)
     raw = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32) if n else np.zeros(0, np.uint32)
@@ -201,22 +219,27 @@ def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     return out
 
 
-def unit_languages(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, int, float, float]]]:
-    """Per text: (start, end, letters, language or -1, cosine, lead) of units."""
+def _judged(model: Model, texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(units of each text, then of all units: letters, language or -1, cosine,
+    lead, nearest language)."""
     owners = units_of(texts)
     key, letters, signs = features(texts, owners)
     n = sum(map(len, owners))
     cos = model.cosines(key, n)
     best = cos.argmax(1)
-    top = cos.max(1) if n else np.zeros(0)
+    top = cos[np.arange(n), best]
     rest = cos.copy()
-    if n:
-        rest[np.arange(n), best] = -1
-    lead = top - (rest.max(1) if n else 0)
-    weight = letters + 3 * signs
-    ok = (top >= MIN_COSINE) & (lead >= MIN_LEAD) & (weight >= MIN_LETTERS)
-    lang = np.where(ok, best, -1)
-    rows = list(zip((letters + signs).tolist(), lang.tolist(), top.tolist(), lead.tolist(), best.tolist()))
+    rest[np.arange(n), best] = -1
+    lead = top - rest.max(1, initial=-1)
+    ok = (top >= MIN_COSINE) & (lead >= MIN_LEAD) & (letters + 3 * signs >= MIN_LETTERS)
+    return owners, letters + signs, np.where(ok, best, -1), top, lead, best
+
+
+def unit_languages(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, int, float, float, int]]]:
+    """Per text: (start, end, letters, language or -1, cosine, lead, nearest
+    language) of its units."""
+    owners, *cols = _judged(model, texts)
+    rows = list(zip(*(c.tolist() for c in cols)))
     out, i = [], 0
     for own in owners:
         out.append([(a, b, *rows[i + j]) for j, (a, b) in enumerate(own)])
@@ -225,24 +248,24 @@ def unit_languages(model: Model, texts: list[str]) -> list[list[tuple[int, int,
 
 
 def _cases(model: Model, ids: list, texts: list, labels: list) -> dict[str, list]:
+    owners, n, lang, _, _, near = _judged(model, [t or "" for t in texts])
+    k = len(LANGS)
+    doc = np.repeat(np.arange(len(texts)), [len(o) for o in owners])
+    ok = lang >= 0
+    letters = np.bincount(doc[ok] * k + lang[ok], weights=n[ok], minlength=len(texts) * k).reshape(-1, k)
+    loose = np.bincount(doc * k + near, weights=n, minlength=len(texts) * k).reshape(-1, k)
     out: dict[str, list] = {"doc_id": [], "case_kind": [], "lang": []}
-    for i, label, units in zip(ids, labels, unit_languages(model, [t or "" for t in texts])):
-        letters = [0] * len(LANGS)
-        loose = [0] * len(LANGS)
-        for _, _, n, lang, _, _, near in units:
-            if lang >= 0:
-                letters[lang] += n
-            loose[near] += n
-        if i is None or not any(loose):
+    for i, label, sure, any_ in zip(ids, labels, letters, loose):
+        if i is None or not any_.any():
             continue
         code = label_code(label)
-        if any(letters):
-            lang = LANGS[letters.index(max(letters))]
+        if sure.any():
+            own = LANGS[int(sure.argmax())]
         else:
-            lang = code or LANGS[loose.index(max(loose))]
-        found = [("label", lang)] if code != lang else []
-        if sum(n > 0 for n in letters) > 1:
-            found += [("mixed", LANGS[k]) for k, n in enumerate(letters) if n]
+            own = code or LANGS[int(any_.argmax())]
+        found = [("label", own)] if code != own else []
+        if (sure > 0).sum() > 1:
+            found += [("mixed", LANGS[j]) for j in np.flatnonzero(sure)]
         for kind, c in found:
             out["doc_id"].append(i)
             out["case_kind"].append(kind)

@@ -124,7 +124,7 @@ STOPS = ".!?。！？।॥．｡"
 
 EVENT = re.compile(r"\r\n|[\n\r\u2028\u2029\x85\x0b\x0c]|…+|[.．]{2,}|[.!?。！？।॥．｡]+|[“”„«»「」『』‹›\"＂〝〞〟]")
 _TRAIL = re.compile(r"[ \u00a0\u202f]?[»”“」』›\"＂〞〟]|[’'）)\]］】]")
-_BEFORE = re.compile(r"(?:[^\W\d_]+\.[ \u00a0\u202f]?){0,2}[^\W\d_ऀ-ॣ]*[^\W\d_]\Z")
+_CLOSERS = frozenset("»”“」』›\"＂〞〟’'）)]］】")
 _WORD_BEFORE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\Z|[ऀ-ॣ]+\Z")
 _WORD_AFTER = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
 _GO_ON = re.compile(r"[ \u00a0\u202f\u3000\t]*(?:[,，、;；:—–-]|[と]|[a-zà-öø-ÿа-яё])")
@@ -255,7 +255,7 @@ def events(text: str) -> tuple[list[int], list[int]]:
             elif c in ".．" and set(s) <= {".", "．"}:
                 continue  # an ellipsis; the line's end ends its unit
             e = end
-            while t := _TRAIL.match(text, e):
+            while (nxt := text[e : e + 2]) and (nxt[0] in _CLOSERS or nxt[0] in " \u00a0\u202f" and nxt[-1] in _CLOSERS) and (t := _TRAIL.match(text, e)):
                 # An opening mark of the next sentence is not taken along.
                 mark = t[0][-1]
                 if mark in '“"＂' and t[0] != mark:
