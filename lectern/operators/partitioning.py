@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from lectern.shipping import ship
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a table that has fewer partitions than there are cores (one
     small file); any larger one is left as it is, without a shuffle."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

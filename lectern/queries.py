@@ -15,6 +15,7 @@ from lectern.functions.text import WS
 from lectern.operators import audio, chapters, cleaning, relational, segments
 from lectern.operators.partitioning import spread
 from lectern.plans import pipeline
+from lectern.shipping import ship
 from lectern.sources import sinks
 from lectern.streaming import progress
 
@@ -35,6 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str, once: bool = False) -> DataFrame:
     """A table; ``once`` for those in which rows are delivered twice."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*cols) if cols else df
     df = df.distinct() if once else df
