@@ -14,17 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.partitioning import spread
+from lectern.shipping import ship
+
 #: Characters handed to a text function at a time.
 BATCH_CHARS = 1_500_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table of fewer partitions than cores (one small file);
-    a table of many files is left as it is, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def sliced(batches: Iterator[pa.RecordBatch], texts: list[str]) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the named text columns hold about
     ``BATCH_CHARS`` bytes (a single longer row stays whole)."""
@@ -84,18 +80,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*cols) if cols else df
 
 
-def distinct_rows(df: DataFrame, key: str) -> DataFrame:
-    """One row of each ``key`` of a table in which rows may be delivered twice,
-    the rows being identical; only the given columns are shuffled."""
-    return df.dropDuplicates([key])
-
-
 def str_col(b: pa.RecordBatch, name: str) -> list:
     return b.column(b.schema.get_field_index(name)).to_pylist()
 
 
-__all__ = ["BATCH_CHARS", "F", "cut", "distinct_rows", "map_texts", "read", "shared_dir", "sliced", "spread", "str_col"]
+__all__ = ["BATCH_CHARS", "F", "cut", "map_texts", "read", "shared_dir", "sliced", "spread", "str_col"]
