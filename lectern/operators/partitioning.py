@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from lectern.shipping import ship
 
 
+_DERIVED = re.compile(r"\b(Join|Aggregate|Deduplicate|Distinct|Repartition\w*|Sort|Window|Union)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a table that has fewer partitions than there are cores (one
-    small file); any larger one is left as it is, without a shuffle."""
+    """Repartition a scan that has fewer partitions than there are cores (one
+    small file); any larger one is left as it is, without a shuffle.  A derived
+    table is left alone too: to count the partitions of an adaptive plan its
+    shuffles would have to run."""
     ship(df.sparkSession)
+    if _DERIVED.search(df._jdf.queryExecution().analyzed().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
