@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import map_texts, spread, str_col
+from lectern.llm.arrowio import map_texts, str_col
 from lectern.llm.units import units_of
 
 OVERLAP = 60
@@ -165,5 +165,5 @@ def cut_texts(items: DataFrame, only_oversized: bool = False) -> DataFrame:
     rows = items.select("item_kind", F.col("item_id").cast("bigint").alias("item_id"), "text", F.col("size_limit").cast("int").alias("size_limit"))
     if only_oversized:
         rows = rows.where(F.length("text") > F.col("size_limit"))
-    got = map_texts(spread(rows), _cut, _SCHEMA, ["text"])
+    got = map_texts(rows, _cut, _SCHEMA, ["text"])
     return got.where("cut_kind <> 'whole'") if only_oversized else got

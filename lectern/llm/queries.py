@@ -34,7 +34,7 @@ SEGMENT_LIMITS = {"translate": 1200, "tts": 900}
 
 
 def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = read(spark, sf_dir, "parsed_chapters", "chapter_id", "text").select(
+    chapters = spread(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text")).select(
         F.lit("chapter").alias("item_kind"), F.col("chapter_id").alias("item_id"), "text", F.lit(CHAPTER_LIMIT).alias("size_limit")
     )
     limit = F.create_map(*(F.lit(x) for kv in SEGMENT_LIMITS.items() for x in kv))
