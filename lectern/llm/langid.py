@@ -39,6 +39,8 @@ BITS = 15
 #: Least cosine with the nearest centroid, least lead over another language's,
 #: and least letters (signs count three) of a unit that speaks for itself.
 MIN_COSINE, MIN_LEAD, MIN_LETTERS = 0.10, 0.03, 12
+#: Characters judged at a time.
+STEP = 600_000
 #: Characters that a unit has to keep without its quoted phrases.
 MIN_SIGNS = 6
 
@@ -106,11 +108,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
-def features(texts: list[str], owners: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner << BITS | feature) of every n-gram, sorted, and each owner's
-    letters and signs.  Owners are the ranges of all texts in order."""
+def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part << BITS | feature) of every n-gram, sorted, and each part's letters
+    and signs."""
     kinds, lower = _tables()
-    parts = [_own_words(p) for t, own in zip(texts, owners) for p in (t[a:b] for a, b in own)]
     n = len(parts)
     lens = np.fromiter((len(p) + 2 for p in parts), dtype=np.int64, count=n)
     raw = np.frombuffer((" " + "  ".join(parts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32) if n else np.zeros(0, np.uint32)
@@ -170,7 +171,7 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     rows = [*SEEDS.items(), *(r for r in rows if r[1] and r[1].strip())]
     texts = [t for _, t in rows]
     y = np.asarray([LANGS.index(c) for c, _ in rows])
-    key, letters, signs = features(texts, [[(0, len(t))] for t in texts])
+    key, letters, signs = features([_own_words(t) for t in texts])
     n = len(rows)
     df = np.bincount(np.unique(key) & ((1 << BITS) - 1), minlength=1 << BITS)
     idf = (np.log((1 + n) / (1 + df)) + 0.3).astype(np.float32)
@@ -223,9 +224,18 @@ def _judged(model: Model, texts: list[str]) -> tuple[list[list[tuple[int, int]]]
     """(units of each text, then of all units: letters, language or -1, cosine,
     lead, nearest language)."""
     owners = units_of(texts)
-    key, letters, signs = features(texts, owners)
-    n = sum(map(len, owners))
-    cos = model.cosines(key, n)
+    parts = [_own_words(t[a:b]) for t, own in zip(texts, owners) for a, b in own]
+    n = len(parts)
+    cos, letters, signs = np.zeros((n, len(LANGS)), dtype=np.float32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    at = 0
+    while at < n:  # so many units at a time that their n-grams stay small
+        end, size = at + 1, len(parts[at])
+        while end < n and size < STEP:
+            size += len(parts[end])
+            end += 1
+        key, letters[at:end], signs[at:end] = features(parts[at:end])
+        cos[at:end] = model.cosines(key, end - at)
+        at = end
     best = cos.argmax(1)
     top = cos[np.arange(n), best]
     rest = cos.copy()

@@ -23,7 +23,9 @@ be there unchanged.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -66,39 +68,64 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
+#: Characters folded, and codes looked up, at a time.
+_STEP = 1 << 21
+_BLANK = re.compile(r"\s")
+
+
+def _runs(texts: list[str | None]) -> Iterator[str]:
+    """Texts, a 0 behind each, in runs of about ``_STEP`` characters; a longer
+    text is cut before a blank."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        t = (t or "").replace("\0", " ")
+        at = 0
+        while len(t) - at > _STEP:
+            m = _BLANK.search(t, at + _STEP)
+            end = m.start() if m else len(t)
+            yield "".join(held) + t[at:end]
+            held, size, at = [], 0, end
+        held.append(t[at:] + "\0")
+        size += len(held[-1])
+        if size > _STEP:
+            yield "".join(held)
+            held, size = [], 0
+    if held:
+        yield "".join(held)
+
+
 def fold(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, word starts, offsets): all texts in one array, a 0 between them."""
     kinds, lower = _tables()
-    clean = []
-    for t in texts:
-        t = t or ""
-        if not t.isascii():
-            t = INVISIBLE.sub("", t)
-            if not unicodedata.is_normalized("NFKC", t):
-                t = unicodedata.normalize("NFKC", t)
-        clean.append(t.replace("\0", " "))
-    codes = np.frombuffer(("\0".join(clean) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = kinds[codes]
-    keep = (kind == 1) | (kind == 2) | (kind == 5)
-    at = np.flatnonzero(keep)
-    k = kind[at]
-    prev_gap = np.zeros(len(at), dtype=bool)
-    prev_gap[0] = True
-    # Any blank or parting mark since the character kept before.
-    gaps = np.cumsum((kind == 3) | (kind == 4))
-    g = gaps[at]
-    prev_gap[1:] = g[1:] != g[:-1]
-    starts = prev_gap | (k != 1)
-    starts[1:] |= k[:-1] != 1
-    # A full stop between letters parts words only before a capital.
-    dotted = np.zeros(len(at), dtype=bool)
-    dotted[1:] = at[1:] - at[:-1] > 1
-    c = codes[at]
-    low = lower[c]
-    starts |= dotted & (low != c)
-    ends = np.flatnonzero(k == 5)
-    offsets = np.concatenate(([0], ends + 1))
-    return low, starts, offsets
+    lows, firsts, ends, base = [], [], [], 0
+    for run in _runs(texts):
+        if not run.isascii():
+            run = INVISIBLE.sub("", run)
+            if not unicodedata.is_normalized("NFKC", run):
+                run = unicodedata.normalize("NFKC", run)
+        codes = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = kinds[codes]
+        at = np.flatnonzero((kind == 1) | (kind == 2) | (kind == 5))
+        if not len(at):
+            continue
+        k = kind[at]
+        # Any blank or parting mark since the character kept before.
+        g = np.cumsum((kind == 3) | (kind == 4), dtype=np.int32)[at]
+        starts = k != 1
+        starts[0] = True
+        starts[1:] |= (g[1:] != g[:-1]) | (k[:-1] != 1)
+        # A full stop between letters parts words only before a capital.
+        c = codes[at]
+        low = lower[c]
+        starts[1:] |= (at[1:] - at[:-1] > 1) & (low[1:] != c[1:])
+        lows.append(low)
+        firsts.append(starts)
+        ends.append(np.flatnonzero(k == 5) + base)
+        base += len(at)
+    if not lows:
+        return np.zeros(0, np.uint32), np.zeros(0, bool), np.zeros(1, np.int64)
+    return np.concatenate(lows), np.concatenate(firsts), np.concatenate(([0], np.concatenate(ends) + 1))
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -173,10 +200,11 @@ class Index:
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, sentence, place in the sentence) of every shared q-gram."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, (h, sent, pos, bits) in self.post.items():
-            g = grams(codes, q)
+        for q, (h, sent, pos, bits), base in ((q, p, b) for q, p in self.post.items() for b in range(0, len(codes), _STEP)):
+            g = grams(codes[base : base + _STEP + q - 1], q)
             at = np.flatnonzero(bits[(g >> np.uint64(64 - _BITS)).view(np.int64)])
             g = g[at]
+            at += base
             lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
             n = hi - lo
             ok = n > 0

@@ -124,7 +124,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for site, key, doc in zip(str_col(b, "site"), str_col(b, "key"), str_col(b, "doc_id")):
             held[site, key, doc >> 16].append(doc & 0xFFFF)
         n += b.num_rows
-        if n > 1_000_000:
+        if n > 300_000:
             yield from flush()
             n = 0
     yield from flush()

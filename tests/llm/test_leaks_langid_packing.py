@@ -61,6 +61,22 @@ def test_against_brute_force(spark):
     assert leaked_items(df.limit(0), it).count() == 0 and leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_long_texts_are_read_whole(monkeypatch):
+    r = random.Random(8)
+    item = " ".join(_sentence(r) for _ in range(6))
+    ix = Index([(1, item)])
+    texts = [" ".join(_sentence(r) for _ in range(400)) + " " + item + " " + _sentence(r), "x" * 5000, None, item]
+    want = sorted(leaks.leaks(ix, texts))
+    assert want == [(0, 0), (3, 0)]
+    whole = leaks.fold(texts)
+    monkeypatch.setattr(leaks, "_STEP", 700)  # the item lies across many steps
+    assert sorted(leaks.leaks(ix, texts)) == want
+    assert all((a == b).all() for a, b in zip(whole, leaks.fold(texts)))
+    monkeypatch.setattr(langid, "STEP", 50)
+    m = langid.fit([])
+    assert [len(u) for u in langid.unit_languages(m, [SAMPLE["en"] * 50, "", SAMPLE["zh"]])][1:] == [0, 2]
+
+
 def test_han_and_width():
     item = "老船夫在屋顶上买了盐和绳子。昆林在港口找到了小镜子。"
     ix = Index([(7, item)])
