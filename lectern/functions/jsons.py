@@ -128,10 +128,18 @@ def error_text(code: Column, reason: Column, body: Column) -> Column:
     )
 
 
-def retry_delay(attempt: Column, retry_after: Column, most: float = 30.0) -> Column:
+def retry_after(value: Column, now: Column | None = None) -> Column:
+    """Seconds of a Retry-After header: a number, or an HTTP date from ``now``
+    on; never negative, NULL where it is neither."""
+    number = F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*\z"), F.trim(value).cast("double"))
+    at = F.try_to_timestamp(F.regexp_replace(F.trim(value), "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    left = F.unix_timestamp(at) - F.unix_timestamp(F.current_timestamp() if now is None else now)
+    return F.coalesce(number, F.when(left.isNotNull(), F.greatest(F.lit(0.0), left.cast("double"))))
+
+
+def retry_delay(attempt: Column, header: Column, most: float = 30.0, now: Column | None = None) -> Column:
     """Seconds to wait: as asked for, else doubling, at most ``most``."""
-    asked = F.try_to_number(retry_after, F.lit("999999999.999")).cast("double")
-    return F.least(F.lit(most), F.coalesce(F.when(asked >= 0, asked), F.pow(F.lit(2.0), attempt)))
+    return F.least(F.lit(most), F.coalesce(retry_after(header, now), F.pow(F.lit(2.0), attempt)))
 
 
 def bounded_parallel(asked: Column, most: Column) -> Column:

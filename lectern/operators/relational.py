@@ -75,6 +75,17 @@ def replaced(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return kept.unionByName(new)
 
 
+def upserted(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows of ``existing`` with the columns of ``changes`` set where its key is
+    there (NULL sets NULL), and the rows of new keys, other columns NULL.  Keys
+    are unique in ``changes``."""
+    new = {c: f"_new_{c}" for c in changes.columns if c != key}
+    there = changes.select(key, *(F.col(c).alias(n) for c, n in new.items()), F.lit(True).alias("_there"))
+    joined = existing.join(there, key, "full")
+    cols = [F.when(F.col("_there"), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in existing.columns]
+    return joined.select(*cols)
+
+
 def cascade_deleted(tables: dict[str, DataFrame], gone: DataFrame, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
     """Tables without the rows that hang on deleted ones.
 

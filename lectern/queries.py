@@ -504,6 +504,20 @@ def dml_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(
+    """SELECT c.id AS chapter_id, CASE WHEN p.chapter_id IS NULL THEN c.title ELSE upper(p.title) END AS title, CASE WHEN p.chapter_id IS NULL THEN c.translation_path END AS translation_path,
+CAST(CASE WHEN p.chapter_id IS NULL THEN c.content_revision ELSE c.content_revision + 1 END AS INTEGER) AS content_revision
+FROM chapters c LEFT JOIN (SELECT chapter_id, title FROM parsed_chapters WHERE length(text) < 500) p ON p.chapter_id = c.id"""
+)
+def dml_upsert_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited chapters get a new title and revision and lose what was made from
+    the old text."""
+    c = table(spark, sf_dir, "chapters", "id", "title", "translation_path", "content_revision").withColumnRenamed("id", "chapter_id")
+    edited = table(spark, sf_dir, "parsed_chapters", "chapter_id", "title", "text").where(F.length("text") < 500).select("chapter_id", F.upper("title").alias("title"))
+    changes = edited.join(c.select("chapter_id", (F.col("content_revision") + 1).alias("content_revision")), "chapter_id").withColumn("translation_path", F.lit(None).cast("string"))
+    return relational.upserted(c, changes, "chapter_id")
+
+
 @query(
     f"""SELECT j.id AS job_id FROM {_JOBS} j JOIN chapters c ON c.id = j.chapter_id WHERE c.content_revision =
 CASE WHEN json_type(options, '$.chapter_revision') IS NULL THEN 0 WHEN json_type(options, '$.chapter_revision') IN ('UBIGINT', 'BIGINT') AND CAST(options ->> '$.chapter_revision' AS BIGINT) >= 0 THEN CAST(options ->> '$.chapter_revision' AS BIGINT) END

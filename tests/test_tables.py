@@ -78,6 +78,13 @@ def test_replaced_and_stale(spark):
     assert [r.id for r in relational.stale_rejected(res, ch, F.col("rev")).collect()] == [2]
 
 
+def test_upserted(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k bigint, v string, w int")
+    new = spark.createDataFrame([(2, None), (3, "c")], "k bigint, v string")
+    assert sorted(map(tuple, relational.upserted(old, new, "k").collect())) == [(1, "a", 5), (2, None, 6), (3, "c", None)]
+    assert relational.upserted(old.limit(0), new.limit(0), "k").count() == 0
+
+
 def test_peaks_and_silence(spark):
     df = spark.createDataFrame([([0] * 4 + [16384] * 4, 1), ([], 1), ([-32768], 1)], "s array<smallint>, c int")
     assert [r.p for r in df.select(audio.peaks(F.col("s"), F.col("c"), 2).alias("p")).collect()] == [[0.0, 0.5], None, [1.0]]

@@ -107,3 +107,11 @@ def test_answers(spark):
     assert errors == ["missing audio", "invalid base64", "not a WAV file", None]
     assert one(spark, "say {source_text}", lambda c: text.filled_template(c, F.lit("a{b}"))) == "say a{b}"
     assert one(spark, "say {other}", lambda c: text.filled_template(c, F.lit("a"))) is None
+
+
+def test_retry_after(spark):
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    rows = [("0", 0.0), ("2.5", 2.5), ("Wed, 01 Jan 2025 00:00:10 GMT", 10.0), ("Tue, 31 Dec 2024 00:00:00 GMT", 0.0), ("soon", None), (None, None)]
+    got = [one(spark, v, lambda c: jsons.retry_after(c, now)) for v, _ in rows]
+    assert got == [w for _, w in rows]
+    assert [one(spark, v, lambda c: jsons.retry_delay(F.lit(7), c, now=now)) for v in ("100", None)] == [30.0, 30.0]
