@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.partitioning import cut
+
 
 def status_counts(segments: DataFrame, key: str = "job_id") -> DataFrame:
     """Segments of each status by key, aggregated before any join, so a key
@@ -113,9 +115,11 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """Dense numbers from 1 in an order that has no ties, made like a parallel
     prefix sum: rows are range-partitioned and numbered within their partition,
     to which the sizes of the partitions before are added (one row a partition
-    is collected, none of the data)."""
+    is collected, none of the data).  The partitions are fixed by a checkpoint, as
+    range bounds are sampled and may fall otherwise when rows are made again."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     marked = parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    marked = cut(marked)
     sizes = {r["_p"]: r["n"] for r in marked.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
     for p in sorted(sizes):
@@ -124,3 +128,12 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
         return df.withColumn(out, F.lit(None).cast("bigint"))
     offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_p")]
     return marked.withColumn(out, F.col("_i") + offset.cast("bigint") + 1).drop("_p", "_i")
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Places from 1 of the rows of each key, like ``row_number`` but without a
+    task that holds a whole key: numbers of all rows less the first of the key.
+    Keys and order together have no ties."""
+    all_rows = numbered(df, [*keys, *order], "_n")
+    first = all_rows.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    return all_rows.join(first, keys).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")

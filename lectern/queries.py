@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +12,7 @@ from lectern.functions import jsons, names, text
 from lectern.functions.providers import apply_provider
 from lectern.functions.text import WS
 from lectern.operators import audio, chapters, cleaning, relational, segments
-from lectern.operators.partitioning import spread
+from lectern.operators.partitioning import shared_dir, spread
 from lectern.plans import pipeline
 from lectern.shipping import ship
 from lectern.sources import sinks
@@ -467,16 +466,15 @@ def srt_current_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH p AS (SELECT id AS chapter_id, 0 AS a, CAST(-1 AS BIGINT) AS b, audio_path AS p FROM chapters WHERE audio_path IS NOT NULL
 UNION ALL SELECT chapter_id, 1, id, output_path FROM {_SEGS} WHERE output_path IS NOT NULL),
 d AS (SELECT chapter_id, p, min((a, b)) AS o FROM p WHERE p <> '' GROUP BY chapter_id, p)
-SELECT chapter_id, md5(string_agg(p, '|' ORDER BY o)) AS paths_md5, count(*) AS n FROM d GROUP BY chapter_id"""
+SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY o, p) AS place, p AS path FROM d"""
 )
 def set_ordered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged sound first, then the parts; equal paths fall together as slim
-    rows before a chapter's list is built."""
+    """Merged sound first, then the parts, the first of equal paths, as rows with
+    their place: a chapter that holds a third of all rows needs no single task."""
     s = _segments(spark, sf_dir, "output_path").select("chapter_id", F.lit(1).alias("a"), F.col("id").alias("b"), F.col("output_path").alias("p"))
     c = table(spark, sf_dir, "chapters", "id", "audio_path").select(F.col("id").alias("chapter_id"), F.lit(0).alias("a"), F.lit(-1).cast("bigint").alias("b"), F.col("audio_path").alias("p"))
     d = s.unionByName(c).where("p is not null and p <> ''").groupBy("chapter_id", "p").agg(F.min(F.struct("a", "b")).alias("o"))
-    paths = F.transform(F.array_sort(F.collect_list(F.struct("o", "p"))), lambda x: x.p)
-    return d.groupBy("chapter_id").agg(paths.alias("ps")).select("chapter_id", F.md5(F.array_join("ps", "|").cast("binary")).alias("paths_md5"), long(F.size("ps")).alias("n"))
+    return relational.placed(d, ["chapter_id"], ["o", "p"], "place").select("chapter_id", "place", F.col("p").alias("path"))
 
 
 @query("SELECT id AS chapter_id, book_id, title FROM chapters WHERE book_id NOT IN (SELECT book_id FROM parsed_books WHERE source_format = 'txt') UNION ALL SELECT book_id, book_id, title FROM parsed_books WHERE source_format = 'txt'")
@@ -561,14 +559,16 @@ def aud_silence_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT label, vec_id, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 32768) AS INTEGER) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-SELECT CAST(label AS BIGINT) AS label, count(DISTINCT vec_id) AS parts, count(*) AS frames, md5(string_agg(CAST(x AS VARCHAR), ',' ORDER BY vec_id, i)) AS samples_md5 FROM s GROUP BY label"""
+    """WITH s AS (SELECT vec_id // 8 AS album, vec_id, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 32768) AS INTEGER) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT album, count(DISTINCT vec_id) AS parts, count(*) AS frames, md5(string_agg(CAST(x AS VARCHAR), ',' ORDER BY vec_id, i)) AS samples_md5 FROM s GROUP BY album"""
 )
 def aud_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = table(spark, sf_dir, "embeddings", "vec_id", "label")
-    df = audio.merged(_samples(spark, sf_dir).join(label, "vec_id"), ["label"], "vec_id")
+    """Albums of eight parts each: a merged sound is one value, so what goes
+    into it is bounded by the album."""
+    album = _samples(spark, sf_dir).withColumn("album", F.expr("vec_id div 8"))
+    df = audio.merged(album, ["album"], "vec_id")
     joined = F.array_join(F.transform("samples", lambda x: x.cast("string")), ",")
-    return df.select(long("label").alias("label"), "parts", long(F.size("samples")).alias("frames"), F.md5(joined.cast("binary")).alias("samples_md5"))
+    return df.select("album", "parts", long(F.size("samples")).alias("frames"), F.md5(joined.cast("binary")).alias("samples_md5"))
 
 
 # --- more projections, filters and lookups --------------------------------------------
@@ -754,8 +754,7 @@ def stm_windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("running")
     ev = raw.select("event_id", "ts", F.col("user_id").alias("job_id"), status.alias("status"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    at = f"{base}/progress-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
     done = progress.run_once(progress.windowed_progress(ev, "1 day", late=None), f"{at}/out", f"{at}/state")
     return done.select("window_start", "job_id", "events", "completed", "failed")
 

@@ -85,6 +85,14 @@ def test_upserted(spark):
     assert relational.upserted(old.limit(0), new.limit(0), "k").count() == 0
 
 
+def test_placed_and_numbered(spark):
+    rows = [(k, v) for k in range(5) for v in range(40 if k == 2 else 3)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(3)
+    assert sorted((r.k, r.v, r.p) for r in relational.placed(df, ["k"], ["v"], "p").collect()) == [(k, v, v + 1) for k, v in rows]
+    assert sorted(r.n for r in relational.numbered(df, ["k", "v"], "n").collect()) == list(range(1, len(rows) + 1))
+    assert relational.placed(df.limit(0), ["k"], ["v"], "p").count() == 0
+
+
 def test_peaks_and_silence(spark):
     df = spark.createDataFrame([([0] * 4 + [16384] * 4, 1), ([], 1), ([-32768], 1)], "s array<smallint>, c int")
     assert [r.p for r in df.select(audio.peaks(F.col("s"), F.col("c"), 2).alias("p")).collect()] == [[0.0, 0.5], None, [1.0]]
