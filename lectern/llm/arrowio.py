@@ -7,14 +7,13 @@ very long texts needs no more memory than one full of short ones.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.partitioning import spread
+from lectern.operators.partitioning import cut, shared_dir, spread
 from lectern.shipping import ship
 
 #: Characters handed to a text function at a time.
@@ -60,25 +59,6 @@ def map_texts(
     return df.mapInArrow(run, parsed)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir`` of the session; a
-    local default is set only where it is unset (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/lectern-checkpoint-{os.getpid()}"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
