@@ -8,6 +8,8 @@ in one script: the script of the token's letters that have no look-alike, else
 the script that prevails among such letters of the whole text if it can spell
 the token, else Latin.  As letters that have look-alikes never vote, two texts
 that look the same get the same spelling.
+Accents are taken off for that (NFD) and put on again (NFC), so a letter with
+accents is judged by its base letter.
 All other forms (width, composition, ligatures, invisible characters, kinds of
 blanks, kinds of line ends) are brought together by NFKC and two classes.
 
@@ -46,8 +48,9 @@ INVISIBLE = re.compile(
 )
 BLANK = re.compile(r"[\t\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]")
 BREAK = re.compile(r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-#: A letter outside Latin that has a Latin look-alike.
-FOREIGN = re.compile("[" + "".join(LATIN_LOOKALIKES.values()) + "]")
+#: A letter of the other scripts of the table (with accents as well): without
+#: one, no token can be mixed or be spelled in another script.
+FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab70-\uabbf]")
 TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 
 _SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
@@ -107,7 +110,7 @@ def _vote(token: str) -> tuple[str, ...]:
     """Scripts of the token's letters that have no look-alike, most first."""
     n: dict[str, int] = {}
     for ch in token:
-        if ch not in CLASS_OF:
+        if ch not in CLASS_OF and not unicodedata.combining(ch):
             for s in script_set(ch) & frozenset(_SCRIPTS):
                 n[s] = n.get(s, 0) + 1
     return tuple(sorted(n, key=lambda s: (-n[s], _SCRIPTS.index(s))))
@@ -141,6 +144,7 @@ def consistent_form(text: str | None) -> str | None:
         t = INVISIBLE.sub("", t)
     t = BLANK.sub(" ", BREAK.sub("\n", t))
     if FOREIGN.search(t):
+        t = unicodedata.normalize("NFD", t)
         tokens = set(TOKEN.findall(t))
         n = dict.fromkeys(_SCRIPTS, 0)
         for tok in TOKEN.findall(t):
@@ -150,8 +154,7 @@ def consistent_form(text: str | None) -> str | None:
         change = {k: v for k in tokens if (v := _respell(k, prevailing)) != k}
         if change:
             t = TOKEN.sub(lambda m: change.get(m[0], m[0]), t)
-        if not unicodedata.is_normalized("NFC", t):
-            t = unicodedata.normalize("NFC", t)
+        t = unicodedata.normalize("NFC", t)
     return t
 
 

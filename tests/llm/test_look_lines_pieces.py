@@ -21,6 +21,18 @@ def test_same_look(a, b):
     assert consistent_form(a) == consistent_form(b)
 
 
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("\u0410\u0308lt", "Ält"), ("\u04d2lt", "A\u0308lt"), ("sch\u043e\u0308n", "schön"), ("tr\u0435\u0300s", "très"), ("avi\u03cc\u006e", "avión"), ("avi\u03bf\u0301n", "avión"),
+        ("н\u00ebбо", "нёбо"), ("наïв", "наїв"), ("л\u00eb", "л\u0451"), ("\u03ac\u03bbλ\u03bf", "\u00e1λλo"),
+    ],
+)
+def test_same_look_with_accents(a, b):
+    assert consistent_form(a) == consistent_form(b)
+    assert consistent_form(consistent_form(a)) == consistent_form(a)
+
+
 @pytest.mark.parametrize(("a", "b"), [("Book", "book"), ("3", "8"), ("café", "cafe"), ("a, b", "a b"), ("a  b", "a b"), ("a\nb", "a b"), ("a\n\nb", "a\nb"), ("Мир", "мир")])
 def test_other_look(a, b):
     assert consistent_form(a) != consistent_form(b)
