@@ -10,7 +10,8 @@ planting defects into sound pairs); p6_found gives the first in order.
 
 Texts are read once, by one Python pass that leaves a slim row per segment; jobs
 are joined to the slim rows.  Length statistics are medians over all pairs of
-a language pair.  Defined results: pairs that aren't completed have no defect
+a language pair, drawn towards the ratio expected of the two scripts the fewer
+pairs there are.  Defined results: pairs that aren't completed have no defect
 but a refusal in a failed pair's error; a NULL or empty source is never a
 copy; a source of names, figures and filler only may be repeated; repeated rows
 count once; a result in an unknown language is in no wrong one.
@@ -32,6 +33,10 @@ DEFECTS = ("empty_answer", "refusal", "copies_source", "wrong_language", "trunca
 CUTOFF = 0.5
 #: Rows of results that the language model is fitted on, at most.
 SAMPLE_ROWS = 4000
+#: Length of a text in a script of dense signs, against alphabets.
+DENSE = {"zh": 0.32, "ja": 0.45}
+#: Pairs that the expected ratio of lengths weighs as much as.
+EXPECTED_PAIRS = 20
 
 _QUOTED = re.compile(r"“[^“”\n]*”|«[^«»\n]*»|„[^„“”\n]*[“”]|「[^「」\n]*」|『[^『』\n]*』|\"[^\"\n]*\"|[“«„「『][^”»」』]*\Z")
 #: How a model speaks when it declines, in ten languages.
@@ -242,9 +247,13 @@ def pair_votes(segments: DataFrame, jobs: DataFrame, model: Model | None = None)
     c = F.col
     ratio = c("lr") / c("ls")
     usual = slim.where("status = 'completed' and ls > 20 and rl = target_lang").groupBy("sl", "target_lang").agg(F.percentile_approx(ratio, 0.5, 1000).alias("usual"), F.count("*").alias("pairs"))
-    usual = usual.where("pairs >= 5").select("sl", "target_lang", "usual")
-    slim = slim.join(F.broadcast(usual), ["sl", "target_lang"], "left")  # at most one row a pair of languages
-    rel = F.when(c("ls") > 0, ratio / F.coalesce(c("usual"), F.lit(1.0)))
+    usual = usual.select(c("sl").alias("usual_sl"), c("target_lang").alias("usual_tl"), "usual", "pairs")
+    slim = slim.join(F.broadcast(usual), c("sl").eqNullSafe(c("usual_sl")) & (c("target_lang") == c("usual_tl")), "left")  # at most one row a pair of languages
+    # A source in no known language is names and filler, which keep their length.
+    dense = F.create_map(*(F.lit(x) for kv in DENSE.items() for x in kv))
+    expected = F.when(c("sl").isNull(), 1.0).otherwise(F.coalesce(dense[c("target_lang")], F.lit(1.0)) / F.coalesce(dense[c("sl")], F.lit(1.0)))
+    known = F.coalesce("pairs", F.lit(0))
+    rel = F.when(c("ls") > 0, ratio / F.exp((known * F.log(F.coalesce("usual", F.lit(1.0))) + EXPECTED_PAIRS * F.log(expected)) / (known + EXPECTED_PAIRS)))
     at = F.array_position(F.array(*(F.lit(x) for x in LANGS)), c("target_lang")).cast("int")
     all_letters = F.aggregate("letters", F.lit(0), lambda x, y: x + y)
     in_target = F.when((c("letters").isNotNull()) & (at > 0), F.element_at("letters", at)).otherwise(0)
