@@ -53,7 +53,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, texts):
             cols = fn(b)
-            arrays = [pa.array(cols[f.name], type=f.type) for f in out]
+            arrays = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], type=f.type) for f in out]
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return df.mapInArrow(run, parsed)

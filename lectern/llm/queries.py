@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,19 +91,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: sentence units -----------------------------------------------------------
 def units_table(df: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, start_pos, end_pos) of every unit of a text column."""
-    from lectern.llm.units import units_of
+    from lectern.llm.units import unit_arrays
 
     def fn(b):  # noqa: ANN001, ANN202
-        ids, starts, ends = [], [], []
-        for i, own in zip(str_col(b, item_id), units_of(str_col(b, text))):
-            if i is not None:
-                for a, e in own:
-                    ids.append(i)
-                    starts.append(a)
-                    ends.append(e)
-        return {item_id: ids, "start_pos": starts, "end_pos": ends}
-
-    return map_texts(spread(df.select(item_id, text)), fn, f"{item_id} bigint, start_pos int, end_pos int", [text])
+        who, start, end = unit_arrays(str_col(b, text))
+        return {item_id: b.column(b.schema.get_field_index(item_id)).take(pa.array(who)), "start_pos": start, "end_pos": end}
+
+    return map_texts(spread(df.select(item_id, text).where(F.col(item_id).isNotNull())), fn, f"{item_id} bigint, start_pos int, end_pos int", [text])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,19 @@
 """Problem 5: sentence units by a finite transducer.
 
-A regular expression finds the few places of a text where anything can happen
-(line ends, stop marks, quotation marks) and local rules give each a symbol.
-The transducer over these symbols has four states; the boundary rules are its
-compiled table.  All symbols of a batch, of many texts, form one stream; it is
-cut into chunks, each chunk is run for all states at once (a state-transition
-function), the functions are composed by a parallel prefix scan, and a last
-pass with the known start states emits the boundaries.  A text of any length is
-therefore many chunks, not one loop.
+A text is lexed without memory, in arrays: each line end, stop mark, quotation
+mark and bracket behind one is an event, whose symbol tells what stands before
+it (a class of the word or figure) and behind it (a class of what follows).
+Everything that depends on more than that is the transducer's: whether a stop
+ends (after an abbreviation, initial, figure, date, address), the quotation that
+is open, of which kind, and whether it began the unit or follows other text.
+The rules below (``STOP_RULES``, ``_step``) are compiled into one table of
+(symbol, state) -> (next state, output).
+
+All symbols of a batch form one stream, in which a line end leads every state to
+the same one.  The stream is cut into chunks; each chunk is run for all states at
+once, which makes it a state-transition function; the functions are composed by a
+parallel prefix scan; a last pass with the known start states gives the outputs.
+A document of any length is thus many chunks and no loop over its text.
 
 Offsets count code points of the text as stored.  Defined results: a NULL,
 empty or blank text has no units; a line without stop mark is a unit; repeated
@@ -17,75 +23,13 @@ texts give equal units.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
 from lectern.llm.look import CLASS_OF as LATIN_OF
 
-# --- symbols and states -----------------------------------------------------
-LINE, STOP, OPEN0, OPEN1, CLOSE, CLOSE_TAG, CLOSE_ON, CLOSE_IN, SKIP = range(9)
-#: Outside at or after a unit's start; outside after a quotation that goes on;
-#: inside a quotation that began the unit; inside one that had text before it.
-OUT, TAIL, QUOTED, TAGGED = range(4)
-STATES = 4
-
-#: Rules: (symbol, state) -> (next state, does a unit end here).  CLOSE: the
-#: quotation ended with a stop and nothing of its sentence follows; CLOSE_TAG:
-#: with a stop, and what follows may be a tag such as "X said"; CLOSE_ON: the
-#: sentence goes on for certain; CLOSE_IN: without a stop inside.
-RULES = {
-    (LINE, OUT): (OUT, 1), (LINE, TAIL): (OUT, 1), (LINE, QUOTED): (OUT, 1), (LINE, TAGGED): (OUT, 1),
-    (STOP, OUT): (OUT, 1), (STOP, TAIL): (OUT, 1), (STOP, QUOTED): (QUOTED, 0), (STOP, TAGGED): (TAGGED, 0),
-    (OPEN0, OUT): (QUOTED, 0), (OPEN0, TAIL): (TAGGED, 0),
-    (OPEN1, OUT): (TAGGED, 0), (OPEN1, TAIL): (TAGGED, 0),
-    (CLOSE, QUOTED): (OUT, 1), (CLOSE, TAGGED): (OUT, 1),
-    (CLOSE_TAG, QUOTED): (TAIL, 0), (CLOSE_TAG, TAGGED): (OUT, 1),
-    (CLOSE_ON, QUOTED): (TAIL, 0), (CLOSE_ON, TAGGED): (TAIL, 0),
-    (CLOSE_IN, QUOTED): (TAIL, 0), (CLOSE_IN, TAGGED): (TAIL, 0),
-}
-
-
-def _compile() -> tuple[np.ndarray, np.ndarray]:
-    step = np.tile(np.arange(STATES, dtype=np.uint8), (9, 1))
-    emit = np.zeros((9, STATES), dtype=bool)
-    for (sym, state), (to, ends) in RULES.items():
-        step[sym, state], emit[sym, state] = to, bool(ends)
-    return step, emit
-
-
-STEP, EMIT = _compile()
-CHUNK = 64
-
-
-def run(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """Which of the symbols end a unit; the stream starts in ``OUT``."""
-    n = len(symbols)
-    if not n:
-        return np.zeros(0, dtype=bool)
-    k = -(-n // chunk)
-    grid = np.full(k * chunk, SKIP, dtype=np.uint8)
-    grid[:n] = symbols
-    grid = grid.reshape(k, chunk)
-    # Each chunk as a function of states.
-    fn = np.tile(np.arange(STATES, dtype=np.uint8), (k, 1))
-    for i in range(chunk):
-        fn = STEP[grid[:, i, None], fn]
-    # Inclusive prefix composition: pre[i] = fn[i] after ... after fn[0].
-    pre, d = fn, 1
-    while d < k:
-        nxt = pre.copy()
-        nxt[d:] = np.take_along_axis(pre[d:], pre[:-d].astype(np.intp), axis=1)
-        pre, d = nxt, d * 2
-    state = np.full(k, OUT, dtype=np.uint8)
-    state[1:] = pre[:-1, OUT]
-    ends = np.zeros((k, chunk), dtype=bool)
-    for i in range(chunk):
-        ends[:, i] = EMIT[grid[:, i], state]
-        state = STEP[grid[:, i], state]
-    return ends.ravel()[:n]
-
-
-# --- local rules ------------------------------------------------------------
+# --- what is known of words -----------------------------------------------------
 #: Abbreviations that stand before a name or word and never end.
 BEFORE_NAME = set(
     "dr drs dra mr mrs ms mx prof profa capt cap cpt lt col gen sgt rev hon st ste sr sra srta sres d dª "
@@ -99,19 +43,17 @@ BEFORE_FIGURE = set(
 )
 #: Abbreviations that may stand at a sentence's end.
 AT_END = set("etc usw u.a u.ä u.s.w a.m p.m a.c d.c b.c a.d inc ltd co corp jr sr.jr bros dept и.т.д т.д т.п др пр др u.dgl vv aa am pm m.a ph.d".split())
-_ABBREVIATIONS = BEFORE_NAME | BEFORE_FIGURE | AT_END
-MONTHS = set(
-    "januar jänner februar märz april mai juni juli august september oktober november dezember "
-    "januára februára jh jahrhundert kapitel klasse tag stock etage auflage band mal".split()
-)
-#: Words that begin sentences and aren't names.
+#: What a German ordinal with a full stop stands before.
+AFTER_ORDINAL = set("januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert kapitel klasse tag stock etage auflage band mal".split())
+#: Words of closed classes (articles, pronouns, prepositions,
+#: conjunctions), which begin sentences and aren't names.
 STARTERS = set(
-    "the a an he she it they we i you on at in by near under behind beside before after during when while who what how where why then there this that these those but and so if as no not one two three last early years all every nobody his her its their my our your mr mrs dr prof capt "
-    "der die das ein eine er sie es wir ich ihr am im in auf unter hinter neben beim vor nach während wer was wie wo warum dann da dies diese aber und so wenn als kein keine zu zur zum letzten an jeden alle niemand "
-    "le la les l un une il elle ils elles nous je vous tu on au aux à en dans sur sous près derrière avant après pendant qui que quel quelle comment où pourquoi puis ce cette ces mais et si comme aucun de du des trois l'hiver ce "
-    "el los las una él ella ellos nosotros yo tú usted al en sobre bajo cerca detrás antes después durante quién qué cómo dónde por luego este esta estos pero y si como ningún de del hace aquella tres a "
-    "o os as um uma ele ela eles nós eu no na nos nas ao à sob perto atrás antes depois durante quem que como onde por então este esta mas e se nenhum do da dos das naquela muitos três "
-    "он она они мы я вы ты на в во под за у возле перед после до во когда кто что как где почему затем этот эта но и если ни один все никто через".split()
+    "the a an he she it they we i you on at in by near under behind beside before after during when while who what how where why then there this that these those but and so if as no not one nobody his her its their my our your "
+    "der die das ein eine er sie es wir ich ihr am im in auf unter hinter neben beim vor nach während wer was wie wo warum dann da dies diese aber und so wenn als kein keine zu zur zum an niemand "
+    "le la les un une il elle ils elles nous je vous tu on au aux à en dans sur sous près derrière avant après pendant qui que quel quelle comment où pourquoi puis ce cette ces mais et si comme aucun de du des "
+    "el los las una él ella ellos nosotros yo tú usted al en sobre bajo cerca detrás antes después durante quién qué cómo dónde por luego este esta estos pero y si como ningún de del "
+    "o os as um uma ele ela eles nós eu no na nos nas ao sob perto atrás depois quem onde então esta mas e se nenhum do da dos das "
+    "он она они мы я вы ты на в во под за у возле перед после до когда кто что как где почему затем этот эта но и если ни через".split()
 )
 #: Verbs of speech, by which a tag after a quotation is known.
 SAYS_HAN = "说|道|问|答|喊|叫|曰|嚷|骂|叹|念"
@@ -119,207 +61,425 @@ SAYS = (
     "said|says|asked|cried|replied|answered|whispered|shouted|called|added|muttered|sagte|fragte|rief|antwortete|flüsterte|dit|demanda|répondit|cria|"
     "dijo|preguntó|respondió|gritó|contestó|disse|perguntou|respondeu|gritou|сказал|сказала|спросил|спросила|ответил|ответила|крикнул|крикнула"
 )
-OPENERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "‚": "‘’", "〝": "〞〟", '"': '"', "＂": "＂", "»": "«"}
-STOPS = ".!?。！？।॥．｡"
+_TAG_HAN = re.compile(rf"[ 　]*[^。！？!?“”「」：\n\r]{{1,24}}?(?:{SAYS_HAN})(?:着|道|了)?(?:[。，！？；…]|[ 　]*(?:[\n\r]|\Z))")
+_TAG = re.compile(rf"[   ]*(?:[^\W\d_a-zа-я][\w'’-]*[ ]){{1,4}}(?:{SAYS})\b")
+
+# --- classes of characters --------------------------------------------------------
+#: Kinds of events; a quotation mark's kind is ``QUOTE`` plus its place in MARKS.
+LINE, DOT, HARD, BRACKET, QUOTE = 1, 2, 3, 4, 5
+MARKS = "“”„«»「」『』‹›\"＂〝〞〟"
+#: Opening marks and what closes them.
+PAIRS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "〝": "〞〟", '"': '"', "＂": "＂", "»": "«"}
+OPENERS = tuple(PAIRS)
+_CLOSING = frozenset("".join(PAIRS.values()))
+#: Marks that go with the stop before them; these only where no blank parts them.
+_TRAILING, _TIGHT = frozenset("»”“」』›\"＂〞〟"), frozenset("“\"＂")
+#: What is taken along behind the mark that closes a quotation.
+_BEHIND = "’'」』”»)）"
+_ALPHA, _UPPER, _LOWER, _DIGIT, _ALNUM, _CJK, _WHITE, _BLANK, _DEVA, _WORD = (1 << i for i in range(10))
+_STOPPED, _ABSORB, _GO, _NO_END = (1 << i for i in range(10, 14))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, flags, small letter, small letter of the Latin look-alike) by code."""
+    n = 0x110000
+    kind, flags = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.uint16)
+    lower = np.arange(n, dtype=np.uint32)
+    for c in (*range(0xD800), *range(0xE000, 0x20000)):
+        ch = chr(c)
+        if ch.isalnum():
+            f = _ALNUM | (_ALPHA if ch.isalpha() else 0) | (_DIGIT if ch.isdigit() else 0) | (0 if ch.isdecimal() else _WORD)
+            if ch.isupper():
+                f |= _UPPER
+            elif ch.islower():
+                f |= _LOWER
+            low = ch.lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+        else:
+            f = _WHITE if ch.isspace() else 0
+        flags[c] = f
+    flags[0x20000:0x32000] = _ALNUM | _ALPHA | _WORD
+    for a, b in ((0x3040, 0x3100), (0x3400, 0xA000), (0xAC00, 0xD7B0)):
+        flags[a:b] |= _CJK
+    flags[0x900:0x964] |= _DEVA
+    for chars, f in ((" \t  　 ", _BLANK), (".!?。！？।॥．｡…", _STOPPED), (_BEHIND, _ABSORB), (",，、;；:—–-と", _GO), (",;:-–—_/@,，；：、º°ª", _NO_END)):
+        flags[[ord(c) for c in chars]] |= f
+    flags[[*range(0x61, 0x7B), *range(0xE0, 0xF7), *range(0xF8, 0x100), *range(0x430, 0x450), 0x451]] |= _GO  # small letters
+    for chars, k in (("\n\r  \x85\x0b\x0c", LINE), (".．", DOT), ("!?。！？।॥｡", HARD), ("’'）)]］】", BRACKET)):
+        kind[[ord(c) for c in chars]] = k
+    for i, c in enumerate(MARKS):
+        kind[ord(c)] = QUOTE + i
+    latin = lower.copy()
+    for ch, to in LATIN_OF.items():
+        latin[ord(ch)] = ord(to.lower())
+    return kind, flags, lower, latin
+
+
+# --- symbols ------------------------------------------------------------------------
+#: What stands before a full stop: nothing; a list mark, short or long figure;
+#: another sign, ASCII or not; or a word: abbreviation before a name or a figure
+#: or at an end (also compound, before names), single letter, short or long word.
+BEFORE = (
+    "blank", "mark", "figure", "number", "sign", "wide_sign", "name", "figure_word", "end", "compound", "compound_end", "clock",
+    "initial", "letter", "unit", "han", "short", "long",
+)
+#: What follows it: the line's end; at once (``+``): a figure, a mark that goes on,
+#: a small, large, Chinese or other letter, a number sign, another sign; after
+#: blanks: the like, also a letter that is an initial itself, and known words.
+AFTER = (
+    "end", "+figure", "+goes_on", "+small", "+large", "+han", "+letter", "+number", "+sign", "small", "large", "large.", "letter", "letter.",
+    "figure", "comma", "dot", "degree", "sign", "sign.", "ordinal", "starter",
+)
+_B, _A = {k: i for i, k in enumerate(BEFORE)}, {k: i for i, k in enumerate(AFTER)}
+ALL = None
+_LARGE = "large large. starter ordinal"
+_LETTERS = f"small letter letter. {_LARGE}"
+#: Does a full stop end a sentence?  The first rule that fits decides.
+STOP_RULES = (
+    (ALL, "end", 1),
+    ("blank", "+figure +small +large +han +letter +number", 0), ("blank", ALL, 1),
+    (ALL, "+goes_on", 0), ("wide_sign", "+figure", 1), (ALL, "+figure", 0), (ALL, "+number +sign", 1), (ALL, "+small +letter", 0),
+    ("mark figure number short long", "+large", 1), (ALL, "+large", 0),
+    ("short long end", "+han", 1), (ALL, "+han", 0),
+    ("compound", ALL, 0), ("clock", "starter", 1), ("clock", ALL, 0), ("compound_end", _LARGE, 1), ("compound_end", ALL, 0),
+    ("initial", f"{_LETTERS} dot", 0), ("initial", ALL, 1),
+    ("letter unit", "small figure large. letter. sign.", 0), ("letter unit", ALL, 1),
+    ("name", ALL, 0), ("figure_word", "figure degree small", 0),
+    ("end", "small figure comma", 0), ("end", ALL, 1),
+    ("long", ALL, 1), ("short han", "small", 0), ("short han figure_word", ALL, 1),
+    ("mark", ALL, 0), ("figure number", "small comma", 0), ("figure", "ordinal", 0), ("figure number sign wide_sign", ALL, 1),
+)
+
+#: States: at a unit's start; in a unit; just behind a stop that ended one; just
+#: behind a quotation that did; and per kind of mark, in a quotation that began
+#: the unit and in one that has text before it.
+START, INSIDE, STOPPED, CLOSED, QUOTED = range(5)
+TAGGED = QUOTED + len(OPENERS)
+STATES = TAGGED + len(OPENERS)
+#: Outputs: nothing, a unit ends here, the unit that has just ended goes on to here.
+NONE, ENDS, EXTENDS = range(3)
+#: How a quotation closes: the sentence goes on; its tag may follow; it ends.
+GOES_ON, TAG, FULL = range(3)
+_DOTS = 1
+_HARDS = _DOTS + len(BEFORE) * len(AFTER) * 2
+_BRACKETS = _HARDS + 2
+_QUOTES = _BRACKETS + 6
+SYMBOLS = _QUOTES + len(MARKS) * 72
+
+
+def _dot_table() -> np.ndarray:
+    ends = np.full((len(BEFORE), len(AFTER)), -1, dtype=np.int8)
+    for before, after, value in STOP_RULES:
+        rows = range(len(BEFORE)) if before is None else [_B[k] for k in before.split()]
+        cols = range(len(AFTER)) if after is None else [_A[k] for k in after.split()]
+        for i in rows:
+            for j in cols:
+                if ends[i, j] < 0:
+                    ends[i, j] = value
+    return ends
+
+
+DOT_ENDS = _dot_table()
+
+
+def _step(state: int, kind: str, gap: int, adjacent: int, mark: str = "", opens: int = 0, closes: int = 0, how: int = FULL, ends: int = 0) -> tuple[int, int]:
+    """(next state, output).  ``gap``: text since the last event; ``adjacent``: 0
+    right behind it, 1 after one blank, 2 neither."""
+    if kind == "line":
+        return START, ENDS
+    if state >= QUOTED:
+        opener = OPENERS[(state - QUOTED) % len(OPENERS)]
+        if kind != "quote" or mark not in PAIRS[opener]:
+            return state, NONE  # stops and other marks inside a quotation
+        if how == FULL or how == TAG and state >= TAGGED:
+            return CLOSED, ENDS
+        return INSIDE, NONE
+    if state == STOPPED and not gap:
+        if kind == "bracket" and adjacent == 0:
+            return STOPPED, EXTENDS
+        if kind == "quote" and mark in _TRAILING and not opens and (adjacent == 0 or adjacent == 1 and mark not in _TIGHT):
+            return STOPPED, EXTENDS
+    if state == CLOSED and adjacent == 0 and (kind == "bracket" or mark and mark in _BEHIND):
+        return CLOSED, NONE
+    fresh = state != INSIDE and not gap
+    if kind == "stop":
+        return (STOPPED, ENDS) if ends else (INSIDE, NONE)
+    if kind == "quote" and opens and closes and mark in OPENERS:
+        return (QUOTED if fresh else TAGGED) + OPENERS.index(mark), NONE
+    return INSIDE, NONE
+
+
+def _compile() -> tuple[np.ndarray, np.ndarray]:
+    to, out = np.zeros((SYMBOLS, STATES), dtype=np.uint8), np.zeros((SYMBOLS, STATES), dtype=np.uint8)
+    for q in range(STATES):
+        to[0, q], out[0, q] = _step(q, "line", 0, 2)
+        for gap in (0, 1):
+            for e in (0, 1):
+                at = _DOTS + np.flatnonzero(DOT_ENDS.ravel() == e) * 2 + gap
+                to[at, q], out[at, q] = _step(q, "stop", gap, 2, ends=e)
+            to[_HARDS + gap, q], out[_HARDS + gap, q] = _step(q, "stop", gap, 2, ends=1)
+            for adj in range(3):
+                to[_BRACKETS + 2 * adj + gap, q], out[_BRACKETS + 2 * adj + gap, q] = _step(q, "bracket", gap, adj)
+                for m, mark in enumerate(MARKS):
+                    for opens in (0, 1):
+                        for closes in (0, 1):
+                            for how in range(3):
+                                s = _QUOTES + ((((m * 2 + opens) * 2 + closes) * 3 + how) * 3 + adj) * 2 + gap
+                                to[s, q], out[s, q] = _step(q, "quote", gap, adj, mark, opens, closes, how)
+    return to, out
+
+
+STEP, OUTPUT = _compile()
+CHUNK = 64
 
-EVENT = re.compile(r"\r\n|[\n\r\u2028\u2029\x85\x0b\x0c]|…+|[.．]{2,}|[.!?。！？।॥．｡]+|[“”„«»「」『』‹›\"＂〝〞〟]")
-_TRAIL = re.compile(r"[ \u00a0\u202f]?[»”“」』›\"＂〞〟]|[’'）)\]］】]")
-_CLOSERS = frozenset("»”“」』›\"＂〞〟’'）)]］】")
-_WORD_BEFORE = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\Z|[ऀ-ॣ]+\Z")
+
+def run(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """The output of each symbol; the stream starts in ``START``."""
+    n = len(symbols)
+    if not n:
+        return np.zeros(0, dtype=np.uint8)
+    k = -(-n // chunk)
+    grid = np.zeros(k * chunk, dtype=np.intp)
+    grid[:n] = symbols
+    grid = grid.reshape(k, chunk).T * STATES
+    step, output = STEP.ravel(), OUTPUT.ravel()
+    # Each chunk but the last as a function of states.
+    fn = np.tile(np.arange(STATES, dtype=np.uint8), (k, 1))
+    for i in range(chunk if k > 1 else 0):
+        fn = step[grid[i][:, None] + fn]
+    # Inclusive prefix composition: pre[i] = fn[i] after ... after fn[0].
+    pre, d = fn, 1
+    while d < k:
+        nxt = pre.copy()
+        nxt[d:] = np.take_along_axis(pre[d:], pre[:-d].astype(np.intp), axis=1)
+        pre, d = nxt, d * 2
+    state = np.full(k, START, dtype=np.uint8)
+    state[1:] = pre[:-1, START]
+    out = np.zeros((k, chunk), dtype=np.uint8)
+    for i in range(chunk):
+        at = grid[i] + state
+        out[:, i] = output[at]
+        state = step[at]
+    return out.ravel()[:n]
+
+
+# --- lexing -----------------------------------------------------------------------
+_BASE = 0x9E3779B97F4A7C15
+_MASK = (1 << 64) - 1
+#: Longest abbreviation, beyond which a word is just a long one.
+_LONGEST = 12
+_POWERS = np.asarray([pow(_BASE, k, 1 << 64) for k in range(2 * _LONGEST + 4)], dtype=np.uint64)
+
+
+def _key(word: str) -> int:
+    return sum(ord(c) * int(_POWERS[k]) for k, c in enumerate(reversed(word), 1)) & _MASK
+
+
+def _lookup(words: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    rows = sorted((_key(w), _B[c]) for w, c in words.items())
+    return np.asarray([r[0] for r in rows], dtype=np.uint64), np.asarray([r[1] for r in rows], dtype=np.int64)
+
+
+_single = {w: "end" for w in AT_END} | {w: "figure_word" for w in BEFORE_FIGURE} | {w: "name" for w in BEFORE_NAME}
+_WORDS = _lookup({w: c for w, c in _single.items() if "." not in w and len(w) > 1})
+_FIGURE_LETTERS = np.asarray(sorted(ord(w) for w in BEFORE_FIGURE if len(w) == 1), dtype=np.uint32)
+_COMPOUNDS = _lookup({w: "compound" if w in BEFORE_NAME else "clock" if w in ("a.m", "p.m") else "compound_end" for w in BEFORE_NAME | AT_END if "." in w})
 _WORD_AFTER = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
-_GO_ON = re.compile(r"[ \u00a0\u202f\u3000\t]*(?:[,，、;；:—–-]|[と]|[a-zà-öø-ÿа-яё])")
-_STOPPED = re.compile(r"[.!?。！？।॥．｡…][ \u00a0\u202f]*\Z")
-_TAG_HAN = re.compile(rf"[ \u3000]*[^。！？!?“”「」：\n\r]{{1,24}}?(?:{SAYS_HAN})(?:着|道|了)?(?:[。，！？；…]|[ \u3000]*(?:[\n\r]|\Z))")
-_TAG = re.compile(rf"[ \u00a0\u202f]*(?:[^\W\d_a-zа-я][\w'’-]*[ ]){{1,4}}(?:{SAYS})\b")
-_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-
-
-def _dot_ends(text: str, at: int, end: int) -> bool:
-    """Whether the single full stop ``text[at:end]`` ends a sentence."""
-    nxt = text[end : end + 1]
-    # By far the most frequent case: a plain word before, a blank behind.
-    word_at = text.rfind(" ", max(0, at - 24), at) + 1
-    plain = text[word_at:at]
-    if word_at and len(plain) > 1 and plain.isalpha() and plain.lower() not in _ABBREVIATIONS:
-        if not nxt or nxt in "\r\n":
-            return True
-        if nxt == " ":
-            follow = text[end + 1 : end + 2]
-            if follow.isalpha():
-                return len(plain) > 4 or not follow.islower()
-    prev = text[at - 1 : at]
-    if not prev or prev.isspace():
-        return not (nxt.isalnum())
-    if nxt and nxt not in " \t\r\n\u00a0\u202f\u3000\u2009":
-        if nxt.isdigit():
-            return False if prev.isdigit() or prev.isascii() else not prev.isalnum()
-        if nxt in ",;:-–—_/@,，；：、º°ª":
-            return False
-        if nxt.isalpha():
-            word = _WORD_BEFORE.search(text, max(0, at - 24), at)
-            w = word[0] if word else ""
-            low = w.lower()
-            if low in BEFORE_NAME or low in BEFORE_FIGURE or (len(w) == 1 and w.isupper()):
-                return False
-            if nxt.islower() or (not w and not prev.isdigit()):
-                return False
-            if _CJK.match(nxt):
-                return len(w) > 1
-            if w and (low in AT_END or len(w) == 1):
-                return False
-            # "...roof.The": a blank left out; not "page.A" of a file or host.
-            start = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
-            if re.search(r"[_/@\\]|\w\.\w", text[start:at]) and not nxt.isupper():
-                return False
-            return nxt.isupper()
-        return True
-    word = _WORD_BEFORE.search(text, max(0, at - 24), at)
-    w = word[0] if word else ""
-    j = end
-    n = len(text)
-    while j < n and text[j] in " \t\u00a0\u202f\u3000\u2009":
-        j += 1
-    follow = text[j : j + 1]
-    if not follow or follow in "\r\n":
-        return True
-    if not w:
-        if prev.isdigit():
-            # A numeral with a full stop: ordinal, list mark, or the end.
-            k = at
-            while k and text[k - 1].isdigit():
-                k -= 1
-            if at - k <= 2 and (k == 0 or text[k - 1] in "\n\r"):
-                return False
-            if follow.islower() or follow in ",;:":
-                return False
-            nw = _WORD_AFTER.match(text, j)
-            return not (at - k <= 4 and nw and nw[0].lower() in MONTHS)
-        return True
-    low = w.lower()
-    if not w.isascii() and low not in _ABBREVIATIONS:
-        low = "".join(LATIN_OF.get(c, c) for c in w).lower()
-    k = at - len(w)
-    inner = k >= 2 and text[k - 1] == "." and text[k - 2].isalpha()
-    spaced = k >= 3 and text[k - 1] in "   " and text[k - 2] == "." and text[k - 3].isalpha()
-    if (inner or spaced) and not (spaced and w.isupper() and w.isascii()):
-        head = _WORD_BEFORE.search(text, max(0, k - 26), k - 1 - spaced)
-        full = f"{head[0].lower() if head else ''}.{low}"
-        if full in BEFORE_NAME:
-            return False
-        if full in AT_END:
-            nw = _WORD_AFTER.match(text, j)
-            if full in ("a.m", "p.m") or w.isupper():  # a name may follow
-                return bool(nw and nw[0][0].isupper() and nw[0].lower() in STARTERS)
-            return follow.isupper()
-    if len(w) == 1 and w.isalpha() and not _CJK.match(w):
-        if w.isupper():
-            if w in ("M", "Z", "T") and follow.isalpha():
-                return False
-            return not (follow.isalpha() or follow == "." or follow == "-")
-        if low in BEFORE_FIGURE and (follow.isdigit() or follow.islower()):
-            return False
-        if follow.islower() or follow.isdigit():
-            return False
-        return not (text[j + 1 : j + 2] == ".")
-    if low in BEFORE_NAME:
-        return False
-    if low in BEFORE_FIGURE and (follow.isdigit() or follow == "°"):
-        return False
-    if low in AT_END:
-        return not (follow.islower() or follow.isdigit() or follow in ",;:")
-    # Before a small letter: an unknown abbreviation if short, else an end.
-    return len(w) > 4 or not follow.islower()
-
-
-def events(text: str) -> tuple[list[int], list[int]]:
-    """Symbols of one text and the offset just behind each of their places."""
-    syms: list[int] = []
-    ends: list[int] = []
-    last = 0  # end of the last event that counts
-    close_at = -1  # where the open quotation closes
-    for m in EVENT.finditer(text):
-        at, end = m.span()
-        s = m[0]
-        c = s[0]
-        if c in "\n\r\u2028\u2029\x85\x0b\x0c":
-            syms.append(LINE)
-            ends.append(at)
-            last, close_at = end, -1
-            continue
-        if at < close_at:
-            continue  # stops and marks inside a quotation
-        if c in STOPS:
-            if len(s) == 1 and c in ".．":
-                if not _dot_ends(text, at, end):
-                    continue
-            elif c in ".．" and set(s) <= {".", "．"}:
-                continue  # an ellipsis; the line's end ends its unit
-            e = end
-            while (nxt := text[e : e + 2]) and (nxt[0] in _CLOSERS or nxt[0] in " \u00a0\u202f" and nxt[-1] in _CLOSERS) and (t := _TRAIL.match(text, e)):
-                # An opening mark of the next sentence is not taken along.
-                mark = t[0][-1]
-                if mark in '“"＂' and t[0] != mark:
-                    break
-                if mark in OPENERS and _opens(text, t.end() - 1):
-                    break
-                e = t.end()
-            syms.append(STOP)
-            ends.append(e)
-            last = e
-            continue
-        if c == "…":
-            continue
-        if at == close_at:
-            inner_stop = _STOPPED.search(text, max(0, at - 4), at)
-            e = end
-            while e < len(text) and text[e] in "’'」』”»)）":
-                e += 1
-            if _GO_ON.match(text, e):
-                sym = CLOSE_ON if inner_stop else CLOSE_IN
-            elif not inner_stop:
-                sym = CLOSE_IN
-            elif _TAG_HAN.match(text, e) or _TAG.match(text, e):
-                sym = CLOSE_TAG
-            else:
-                sym = CLOSE
-            syms.append(sym)
-            ends.append(e)
-            last, close_at = e, -1
-            continue
-        if at < last:
-            continue
-        closers = OPENERS.get(c)
-        if not closers or not _opens(text, at):
-            continue
-        close_at = _closing(text, end, closers)
-        if close_at < 0:
-            continue
-        syms.append(OPEN0 if not text[last:at].strip() else OPEN1)
-        ends.append(end)
-    syms.append(LINE)
-    ends.append(len(text))
-    return syms, ends
-
-
-def _opens(text: str, at: int) -> bool:
-    c = text[at]
-    if c in "„「『‹〝":
-        return True
-    if c == "»":  # reversed guillemets open only before a letter
-        return (not at or text[at - 1].isspace()) and text[at + 1 : at + 2].isalpha() and "«" in text[at + 1 : at + 400]
-    if c in "“«":
-        return True
-    return c in '"＂' and (not at or not text[at - 1].isalnum() and text[at - 1] not in ".!?,;:")
-
-
-_ENDLINE = re.compile(r"[\n\r\u2028\u2029\x85\x0b\x0c]")
-
-
-def _closing(text: str, start: int, closers: str) -> int:
-    m = _ENDLINE.search(text, start)
-    stop = m.start() if m else len(text)
-    found = [i for c in closers if (i := text.find(c, start, stop)) >= 0]
-    return min(found) if found else -1
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    i = np.searchsorted(table[0], keys)
+    i[i == len(table[0])] = 0
+    return np.where(table[0][i] == keys, table[1][i], -1)
+
+
+def _words_before(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, key, key by Latin look-alikes) of the words that end right before
+    ``at``; a word longer than ``_LONGEST`` is no abbreviation and not read on."""
+    _, flags, lower, latin = _tables()
+    n = len(at)
+    length = np.zeros(n, dtype=np.int64)
+    key, alike = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    act = np.flatnonzero(flags[codes[at - 1]] & (_WORD | _DEVA))
+    deva = (flags[codes[at - 1]] & _DEVA) > 0
+    for k in range(1, _LONGEST + 1):
+        p = at[act] - k
+        ok = p > 0
+        act, p = act[ok], p[ok]
+        c = codes[p]
+        f = flags[c]
+        joint = ((c == 0x2D) | (c == 0x27) | (c == 0x2019)) & ((flags[codes[p - 1]] & _WORD) > 0) & (k > 1)
+        ok = ((f & _WORD) > 0) | (deva[act] & ((f & _DEVA) > 0)) | joint
+        act, c = act[ok], c[ok]
+        if not len(act):
+            break
+        length[act] = k
+        key[act] += lower[c].astype(np.uint64) * _POWERS[k]
+        alike[act] += latin[c].astype(np.uint64) * _POWERS[k]
+    return length, key, alike
+
+
+def _before_dots(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    kind, flags, lower, _ = _tables()
+    prev = codes[at - 1]
+    f = flags[prev]
+    length, key, alike = _words_before(codes, at)
+    got = np.where(length > 4, _B["long"], _B["short"])
+    got[length == 0] = np.where(prev[length == 0] < 128, _B["sign"], _B["wide_sign"])
+    known = _found(_WORDS, key)
+    known = np.where(known < 0, _found(_WORDS, alike), known)
+    got = np.where((known >= 0) & (length > 1), known, got)
+    one = length == 1
+    got[one] = np.where(f[one] & _CJK, _B["han"], np.where(f[one] & _UPPER, _B["initial"], np.where(np.isin(lower[prev[one]], _FIGURE_LETTERS), _B["unit"], _B["letter"])))
+    # Compounds such as "z. B" or "a.m": the part before, parted by a dot.
+    i = np.flatnonzero((length > 0) & (length < 5) & (at > length + 3))
+    if len(i):
+        b = at[i] - length[i] - 1
+        spaced = np.isin(codes[b], (0x20, 0xA0, 0x202F)) & (codes[b - 1] == 0x2E)
+        inner = codes[b] == 0x2E
+        d = np.where(spaced, b - 1, b)
+        large = (f[i] & _UPPER) > 0
+        ok = (inner | spaced) & ((flags[codes[d - 1]] & _ALPHA) > 0) & ~(spaced & large & (prev[i] < 128))
+        i, d, large = i[ok], d[ok], large[ok]
+        if len(i):
+            size, head, _ = _words_before(codes, d)
+            whole = key[i] + np.uint64(0x2E) * _POWERS[length[i] + 1] + head * _POWERS[length[i] + 1]
+            c = _found(_COMPOUNDS, whole)
+            ok = (c >= 0) & (size > 0)
+            got[i[ok]] = np.where((c[ok] == _B["compound_end"]) & large[ok], _B["clock"], c[ok])
+    # Figures: how long, and whether a list mark at the line's start.
+    i = np.flatnonzero(((f & _DIGIT) > 0) & (length == 0))
+    if len(i):
+        size, act = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
+        for k in range(1, 6):
+            p = at[i[act]] - k
+            act = act[(flags[codes[np.maximum(p, 0)]] & _DIGIT) > 0]
+            size[act] = k
+        first = kind[codes[np.maximum(at[i] - size - 1, 0)]] == LINE
+        got[i] = np.where((size <= 2) & first, _B["mark"], np.where(size <= 4, _B["figure"], _B["number"]))
+    got[(f & _WHITE) > 0] = _B["blank"]
+    return got
+
+
+def _after_dots(joined: str, codes: np.ndarray, end: np.ndarray, follow: np.ndarray, line: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Class of what follows; ``follow``: place of the next character that isn't
+    blank, ``line``: of the next line end."""
+    _, flags, _, _ = _tables()
+    c = codes[end]
+    f = flags[c]
+    choose = lambda f, names: np.select([(f & b) > 0 for b, _ in names], [_A[k] for _, k in names], -1)
+    got = choose(f, [(_DIGIT, "+figure"), (_NO_END, "+goes_on"), (_LOWER, "+small"), (_CJK, "+han"), (_UPPER, "+large"), (_ALPHA, "+letter"), (_ALNUM, "+number")])
+    got[got < 0] = _A["+sign"]
+    i = np.flatnonzero(f & _BLANK)
+    g, c2 = flags[codes[follow[i]]], codes[follow[i]]
+    then = codes[np.minimum(follow[i] + 1, len(codes) - 1)] == 0x2E
+    own = choose(g, [(_DIGIT, "figure"), (_LOWER, "small"), (_UPPER, "large"), (_ALPHA, "letter")])
+    own[own < 0] = _A["sign"]
+    own = np.where(np.isin(c2, (0x2C, 0x3B, 0x3A)), _A["comma"], np.where(np.isin(c2, (0x2E, 0x2D)), _A["dot"], np.where(c2 == 0xB0, _A["degree"], own)))
+    own = np.where(then & np.isin(own, (_A["large"], _A["letter"], _A["sign"])), own + 1, own)
+    got[i] = own
+    got[(line <= follow) & (((f & _BLANK) > 0) | (line == end))] = _A["end"]
+    for cls, words, name in (("figure", AFTER_ORDINAL, "ordinal"), ("clock", STARTERS, "starter")):
+        for j in np.flatnonzero((before == _B[cls]) & np.isin(got, (_A["large"], _A["large."]))).tolist():
+            m = _WORD_AFTER.match(joined, follow[j])
+            if m and m[0].lower() in words:
+                got[j] = _A[name]
+    return got
+
+
+def lex(joined: str, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, ends of the events, nonblank counts, nonblank places) of texts
+    each of which stands between line ends."""
+    kind, flags, _, _ = _tables()
+    all_kinds = kind[codes]
+    at = np.flatnonzero(all_kinds)
+    k = all_kinds[at]
+    solid = (flags[codes] & _WHITE) == 0
+    places = np.append(np.flatnonzero(solid), len(codes) - 1)
+    count = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum(solid, out=count[1:])
+    # Runs of stop marks: one full stop, an ellipsis (no event), or a hard stop.
+    end = at + 1
+    keep = np.ones(len(at), dtype=bool)
+    stop = (k == DOT) | (k == HARD)
+    begins = stop & ~(np.concatenate(([False], stop[:-1])) & (np.diff(at, prepend=-2) == 1))
+    first = np.flatnonzero(begins)
+    if len(first):
+        idx = np.flatnonzero(stop)
+        where = np.searchsorted(idx, first)
+        size = np.diff(np.append(where, len(idx)))
+        hard = np.minimum.reduceat(np.where(k[idx] == HARD, np.arange(len(idx)), len(idx)), where)
+        lead = np.minimum(hard - where, size)
+        keep[idx] = False
+        single = (size == 1) & (lead == 1)
+        strong = lead < size
+        event = np.where(strong & (lead > 1), first + lead, first)
+        keep[event[single | strong]] = True
+        k[event[strong]] = HARD
+        end[event] = at[first] + size
+    before_kind = kind[codes[np.maximum(at - 1, 0)]]
+    keep &= (k != BRACKET) | (before_kind > LINE)
+    at, k, end = at[keep], k[keep], end[keep]
+    last = np.concatenate(([0], end[:-1]))
+    gap = count[at] > count[last]
+    near = at - last
+    adjacent = np.where(near == 0, 0, np.where((near == 1) & np.isin(codes[last], (0x20, 0xA0, 0x202F)), 1, 2))
+    symbols = np.zeros(len(at), dtype=np.intp)
+    i = np.flatnonzero(k == HARD)
+    symbols[i] = _HARDS + gap[i]
+    i = np.flatnonzero(k == BRACKET)
+    symbols[i] = _BRACKETS + 2 * adjacent[i] + gap[i]
+    lines = at[k == LINE]
+    next_line = lambda p: lines[np.minimum(np.searchsorted(lines, p), len(lines) - 1)]
+    i = np.flatnonzero(k == DOT)
+    if len(i):
+        before = _before_dots(codes, at[i])
+        after = _after_dots(joined, codes, end[i], places[count[end[i]]], next_line(end[i]), before)
+        symbols[i] = _DOTS + (before * len(AFTER) + after) * 2 + gap[i]
+    i = np.flatnonzero(k >= QUOTE)
+    if len(i):
+        symbols[i], end[i] = _quote_symbols(joined, codes, at[i], k[i] - QUOTE, adjacent[i], gap[i], count, places, next_line)
+    return symbols, end, count, places
+
+
+def _quote_symbols(joined, codes, at, mark, adjacent, gap, count, places, next_line):  # noqa: ANN001, ANN202
+    """Symbols of quotation marks, and how far what closes there reaches."""
+    _, flags, _, _ = _tables()
+    before, behind = codes[at - 1], codes[np.minimum(at + 1, len(codes) - 1)]
+    opens = np.isin(mark, [MARKS.index(c) for c in "“„«「『‹〝"])
+    straight = np.isin(mark, [MARKS.index(c) for c in '"＂'])
+    opens |= straight & ((flags[before] & _ALNUM) == 0) & ~np.isin(before, [ord(c) for c in ".!?,;:"])
+    opens |= (mark == MARKS.index("»")) & ((flags[before] & _WHITE) > 0) & ((flags[behind] & _ALPHA) > 0)
+    line = next_line(at)
+    closes = np.zeros(len(at), dtype=bool)
+    for c, by in PAIRS.items():
+        i = np.flatnonzero((mark == MARKS.index(c)) & opens)
+        for b in by if len(i) else "":
+            own = at[mark == MARKS.index(b)]
+            j = np.searchsorted(own, at[i] + 1)
+            ok = j < len(own)
+            closes[i[ok]] |= own[j[ok]] < line[i[ok]]
+    # How a quotation would close here.
+    end = at + 1
+    act = np.flatnonzero(np.isin(mark, [MARKS.index(c) for c in _CLOSING]))
+    shut = act
+    while len(act):
+        act = act[(flags[codes[np.minimum(end[act], len(codes) - 1)]] & _ABSORB) > 0]
+        end[act] += 1
+    how = np.full(len(at), GOES_ON)
+    inner, act, p = np.zeros(len(at), dtype=bool), shut, at - 1
+    while len(act):
+        inner[act] = (flags[codes[p[act]]] & _STOPPED) > 0
+        act = act[np.isin(codes[p[act]], (0x20, 0xA0, 0x202F))]
+        p[act] -= 1
+    follow = places[count[end]]
+    goes_on = ((flags[codes[follow]] & _GO) > 0) & (follow < next_line(end))
+    for i in shut[inner[shut] & ~goes_on[shut]].tolist():
+        e = int(end[i])
+        how[i] = TAG if _TAG_HAN.match(joined, e) or _TAG.match(joined, e) else FULL
+    return _QUOTES + ((((mark.astype(np.intp) * 2 + opens) * 2 + closes) * 3 + how) * 3 + adjacent) * 2 + gap, end
 
 
 #: Characters that hide an abbreviation or a boundary from the rules.
@@ -338,37 +498,54 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     return _NOT_SEEN.sub("", text).translate(_PLAINER), [*at, len(text)]
 
 
+def unit_arrays(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, start, end) of all units of a batch, in order."""
+    seen, odd = [], {}
+    for i, t in enumerate(texts):
+        s, at = plain(t) if t else ("", None)
+        if at is not None:
+            odd[i] = at
+        seen.append(s)
+    joined = "\n" + "\n".join(seen) + "\n"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    symbols, end, count, places = lex(joined, codes)
+    out = run(symbols)
+    cut = (out > NONE) & (np.append(out[1:], NONE) != EXTENDS)
+    # A line's end ends a unit before its own character.
+    b = np.where(symbols[cut] == 0, end[cut] - 1, end[cut])
+    a = np.concatenate(([0], b[:-1]))
+    some = count[b] > count[a]
+    start, stop = places[count[a[some]]], places[count[b[some]] - 1] + 1
+    size = np.fromiter((len(s) + 1 for s in seen), dtype=np.int64, count=len(seen))
+    base = np.cumsum(size) - size + 1
+    who = np.searchsorted(base, start, "right") - 1
+    start, stop = start - base[who], stop - base[who]
+    if not odd:
+        return who, start, stop
+    # Boundaries behind what isn't seen: stripped again in the text as stored.
+    plain_ones = ~np.isin(who, np.fromiter(odd, dtype=np.int64))
+    more: list[tuple[int, int, int]] = []
+    for i, at in odd.items():
+        t, last = texts[i], 0
+        for x in b[slice(*np.searchsorted(b, (base[i], base[i] + size[i])))].tolist():
+            e = at[x - base[i]]
+            piece = t[last:e]
+            kept = piece.lstrip()
+            if kept:
+                s = last + len(piece) - len(kept)
+                more.append((i, s, s + len(kept.rstrip())))
+            last = e
+    rows = np.asarray(more, dtype=np.int64).reshape(-1, 3)
+    who = np.concatenate((who[plain_ones], rows[:, 0]))
+    start = np.concatenate((start[plain_ones], rows[:, 1]))
+    stop = np.concatenate((stop[plain_ones], rows[:, 2]))
+    order = np.argsort(who, kind="stable")
+    return who[order], start[order], stop[order]
+
+
 def units_of(texts: list[str | None]) -> list[list[tuple[int, int]]]:
     """Units (start, end) of every text of a batch."""
-    symbols: list[int] = []
-    ends: list[int] = []
-    count = []
-    for t in texts:
-        if not t:
-            count.append(0)
-            continue
-        seen, at = plain(t)
-        s, e = events(seen)
-        if at is not None:  # a mark goes with what isn't seen behind it
-            e = [at[x] for x in e]
-        symbols += s
-        ends += e
-        count.append(len(s))
-    hits = run(np.asarray(symbols, dtype=np.uint8))
-    out: list[list[tuple[int, int]]] = []
-    i = 0
-    for t, n in zip(texts, count):
-        own: list[tuple[int, int]] = []
-        at = 0
-        if n:
-            for j in np.flatnonzero(hits[i : i + n]):
-                end = ends[i + j]
-                piece = t[at:end]
-                kept = piece.lstrip()
-                if kept:
-                    a = at + len(piece) - len(kept)
-                    own.append((a, a + len(kept.rstrip())))
-                at = end
-        i += n
-        out.append(own)
-    return out
+    who, start, stop = unit_arrays(texts)
+    rows = list(zip(start.tolist(), stop.tolist()))
+    at = np.searchsorted(who, np.arange(len(texts) + 1)).tolist()
+    return [rows[i:j] for i, j in zip(at, at[1:])]

@@ -1,8 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 
 from lectern.llm import units
-from lectern.llm.units import EMIT, OUT, STEP, events, run, units_of
+from lectern.llm.units import AFTER, BEFORE, OUTPUT, START, STATES, STEP, STOP_RULES, SYMBOLS, run, units_of
 
 
 def split(t):
@@ -45,18 +47,59 @@ def test_lines_and_edges():
     assert split("“远吗？我走不动了。”伊弗顿说\n他走了") == ["“远吗？我走不动了。”伊弗顿说", "他走了"]
 
 
+def test_abbreviations_are_seen_through_odd_characters():
+    assert split("С\u0430pt. Orrin left. He ran.") == ["С\u0430pt. Orrin left.", "He ran."]
+    assert split("A las 8.30 a.\u00a0m. Orrin corrió. Luego nada.") == ["A las 8.30 a.\u00a0m. Orrin corrió.", "Luego nada."]
+
+
 def test_scan_is_the_sequential_run():
     rng = np.random.default_rng(3)
     for n in (0, 1, 63, 64, 65, 5000):
-        sym = rng.integers(0, 9, n).astype(np.uint8)
-        state, want = OUT, []
+        sym = rng.integers(0, SYMBOLS, n)
+        state, want = START, []
         for s in sym:
-            want.append(bool(EMIT[s, state]))
+            want.append(OUTPUT[s, state])
             state = STEP[s, state]
         for chunk in (1, 7, 64):
             assert run(sym, chunk).tolist() == want
 
 
+def test_every_rule_decides_something():
+    left = {(b, a) for b in BEFORE for a in AFTER}
+    for before, after, _ in STOP_RULES:
+        own = {(b, a) for b, a in left if (before is None or b in before.split()) and (after is None or a in after.split())}
+        assert own, (before, after)
+        left -= own
+    assert not left
+    assert {units.NONE, units.ENDS, units.EXTENDS} == set(OUTPUT.ravel().tolist()) and set(STEP.ravel().tolist()) == set(range(STATES))
+    assert (STEP[0] == START).all()  # a line's end leads every state to the start
+
+
+LONG = "Dr. No asked: “Who came? Nobody.” At 7.30 a.m. Orrin ran (he said.) “Go! Now,” said Bob. He left. “门是开着的。”维尔卡说。他走了。No end “of it. Yes"
+
+
+def test_one_long_text_is_many_chunks():
+    """Ten megabytes in one line: the machine's chunks, whatever their size, give
+    what short texts give."""
+    own = units_of([LONG])[0]
+    times = 10_000_000 // len(LONG.encode()) + 1
+    text = "\n".join([LONG] * times)
+    t = time.perf_counter()
+    got = units_of([text])[0]
+    assert time.perf_counter() - t < 20
+    assert len(got) == times * len(own)
+    assert got[-len(own) :] == [(a + (times - 1) * (len(LONG) + 1), b + (times - 1) * (len(LONG) + 1)) for a, b in own]
+    line = (LONG.partition("No end")[0] + " ") * 4000
+    assert len(units_of([line])[0]) == 4000 * (len(own) - 2)
+
+
+def test_chunk_size_changes_nothing(monkeypatch):
+    want = units_of([LONG * 20, LONG])
+    for chunk in (1, 5, 1000):
+        monkeypatch.setattr(units.run, "__defaults__", (chunk,))
+        assert units_of([LONG * 20, LONG]) == want
+
+
 def test_batches_and_long_texts():
     a = "One is. Two is! “Three? Four,” said Bob. " * 3000
     b = "一。二！"
@@ -64,5 +107,5 @@ def test_batches_and_long_texts():
     assert units_of([a, b, a]) == alone and len(alone[0]) == 9000
     for s, e in alone[0]:
         assert a[s:e] == a[s:e].strip() != ""
-    assert len(events("x" * 100_000)[0]) == 1
-    assert units.CHUNK > 1
+    assert units_of(["x" * 100_000]) == [[(0, 100_000)]]
+    assert units_of([]) == []
