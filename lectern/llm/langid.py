@@ -1,20 +1,28 @@
 """Problem 9: languages of documents and of their segments.
 
 Nearest centroid: a sentence unit is a TF-IDF vector of hashed character
-n-grams (three letters in alphabets, one sign in scripts whose signs tell more),
-normalised and compared by cosine with several clustered centroids per language.
-A unit too far from all centroids, or as near to another language, is rejected
-and joins its neighbours.
+n-grams (three letters and whole words in alphabets, one sign in scripts whose
+signs tell more), normalised and compared by cosine with several clustered centroids per language.
+A unit too far from all centroids, or not far enough nearer to one language than
+to another, is rejected and joins its neighbours.
 
 The centroids are fitted on a bounded sample of the labelled rows:
 ``SAMPLE_DOCS`` documents and ``SAMPLE_CHARS`` characters of each label, chosen
-by a hash of the id, whole texts.  As labels are noisy, rows that another
-language's centroid claims are put aside before clustering.  A short public text
-per language keeps every language known where a sample has none.
+by a hash of the id, whole texts.  Labels are noisy and documents mixed, so what
+is clustered is each document's own sentences only: those that the centroid of
+its label claims, and no document whose label another language claims.  Clusters
+start far apart (k-means++), from several fixed starts, and the run of least
+loss is kept.  How far a unit must lead is measured for each pair of languages on
+documents held out of the fit, in the places where a rival claims a few sentences
+of a document that is otherwise of one language.  A short public text per
+language keeps every language known where a sample has none.
 
 Defined results: NULL, empty and letterless texts have no language; a document
 without any accepted unit keeps a valid label, else gets its nearest language;
-ties go to the language first in ``LANGS``.
+ties go to the language first in ``LANGS``; a document's confidence is the share
+of its letters that its language claims, times their mean lead over the nearest
+rival as a share of the cosine, 0 where no unit was accepted; another language
+counts as mixed in only with a whole sentence, that is with a stop mark.
 """
 
 from __future__ import annotations
@@ -25,20 +33,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.arrowio import map_texts, spread, str_col
-from lectern.llm.units import units_of
+from lectern.llm.units import unit_arrays, units_of
 
 LANGS = ("en", "zh", "fr", "de", "es", "pt", "ru", "ja", "hi")
 SAMPLE_DOCS = 160
-SAMPLE_CHARS = 400_000
-CLUSTERS = 2
-BITS = 15
+SAMPLE_CHARS = 160_000
+#: Centroids of a language at most, one for each ``CLUSTER_DOCS`` documents, and
+#: starts of which the best is kept.
+CLUSTERS, CLUSTER_DOCS, STARTS = 4, 20, 6
+BITS = 16
 #: Least cosine with the nearest centroid, least lead over another language's,
 #: and least letters (signs count three) of a unit that speaks for itself.
-MIN_COSINE, MIN_LEAD, MIN_LETTERS = 0.10, 0.03, 12
+MIN_COSINE, MIN_LEAD, MIN_LETTERS = 0.10, 0.04, 12
+#: Least lead of a sentence that its document's language is learned from.
+OWN_LEAD = 0.1
+#: A pair's lead is raised, up to ``MOST_LEAD``, where a rival claims more than
+#: ``MISTAKES`` of the sentences of held-out documents of which all rivals claim
+#: less than ``FOREIGN`` of the letters.
+MOST_LEAD, FOREIGN, MISTAKES = 0.10, 0.08, 0.001
 #: Characters judged at a time.
 STEP = 600_000
 #: Characters that a unit has to keep without its quoted phrases.
@@ -62,11 +78,19 @@ SEEDS = {
 _ADDRESS = re.compile(r"[A-Za-z0-9:/@_.~#?=&%+-]*[A-Za-z0-9][./@_][A-Za-z0-9][A-Za-z0-9:/@_.~#?=&%+-]*")
 
 
+_ENCLOSING, _STOPS = "”“»«」』›\"＂〞〟’')）]］】 \u00a0\u202f", frozenset(".!?。！？।॥．｡…")
+
+
 #: A short phrase in quotation marks that isn't speech: no stop or comma in it,
 #: none behind it.
 _PHRASE = re.compile(r"(?:“[^“”.!?,;:…。！？，\n]{1,48}”|«[^«».!?,;:…\n]{1,48}»|„[^„“”.!?,;:…\n]{1,48}[“”])(?!\s?[,—–-])")
 
 
+def _sentences(parts: list[str]) -> np.ndarray:
+    """Which units end with a stop mark; headings and verse don't."""
+    return np.fromiter((p.rstrip(_ENCLOSING)[-1:] in _STOPS for p in parts), dtype=bool, count=len(parts))
+
+
 def _own_words(part: str) -> str:
     """A unit without addresses and quoted phrases, unless little is left."""
     if part.find(".", 0, -1) >= 0 or "/" in part or "@" in part or "_" in part:
@@ -108,6 +132,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return kind, lower
 
 
+_PLACES = np.asarray([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(40)], dtype=np.uint64)
+
+
 def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(part << BITS | feature) of every n-gram, sorted, and each part's letters
     and signs."""
@@ -125,18 +152,28 @@ def features(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h1 = (low[one] * m) >> np.uint64(64 - BITS)
     mid = np.flatnonzero(kind == 1)
     h3 = ((low[mid - 1] * np.uint64(0x9E3779B1) + low[mid]) * np.uint64(0x85EBCA6B) + low[mid + 1]) * m >> np.uint64(64 - BITS)
-    key = np.concatenate(((who[one] << BITS) | h1.astype(np.int64), (who[mid] << BITS) | h3.astype(np.int64)))
+    # Whole words of alphabets: their letters weighted by place.
+    first = mid[kind[mid - 1] != 1]
+    if len(first):
+        place = np.arange(len(mid)) - np.repeat(np.searchsorted(mid, first), np.diff(np.append(np.searchsorted(mid, first), len(mid))))
+        word = np.add.reduceat(low[mid] * _PLACES[np.minimum(place, len(_PLACES) - 1)], np.searchsorted(mid, first))
+        hw = (word ^ (word >> np.uint64(31))) * m >> np.uint64(64 - BITS)
+    else:
+        hw = np.zeros(0, np.uint64)
+    key = np.concatenate(((who[one] << BITS) | h1.astype(np.int64), (who[mid] << BITS) | h3.astype(np.int64), (who[first] << BITS) | hw.astype(np.int64)))
     key.sort()
     return key, letters, signs
 
 
 class Model:
-    """Centroids of all languages: ``weights[feature, centroid]``."""
+    """Centroids of all languages, ``weights[feature, centroid]``, and the least
+    ``leads[claimed, rival]``."""
 
-    def __init__(self, idf: np.ndarray, weights: np.ndarray, langs: np.ndarray) -> None:
+    def __init__(self, idf: np.ndarray, weights: np.ndarray, langs: np.ndarray, leads: np.ndarray | None = None) -> None:
         self.idf, self.weights, self.langs = idf, weights, langs
         self.starts = np.flatnonzero(np.diff(langs, prepend=-1))
         self.known = langs[self.starts]
+        self.leads = np.full((len(LANGS), len(LANGS)), MIN_LEAD) if leads is None else leads
 
     def cosines(self, key: np.ndarray, n: int) -> np.ndarray:
         """[owner, language]: cosine with the nearest centroid of each."""
@@ -156,44 +193,141 @@ class Model:
         out[np.ix_(who[at], self.known)] = best
         return out
 
+    def decided(self, cos: np.ndarray, size: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language or -1, cosine, lead, nearest language, its rival) of units,
+        ``size`` their letters and signs."""
+        own = np.arange(len(cos))
+        best = cos.argmax(1)
+        top = cos[own, best]
+        rest = cos.copy()
+        rest[own, best] = -1
+        rival = rest.argmax(1)
+        lead = top - rest[own, rival]
+        ok = (top >= MIN_COSINE) & (lead >= self.leads[best, rival]) & (size + 2 * signs >= MIN_LETTERS)
+        return np.where(ok, best, -1), top, lead, best, rival
+
 
 def _dense(key: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
     x = np.zeros((n, 1 << BITS), dtype=np.float32)
-    f, tf = np.unique(key, return_counts=True)
-    x[f >> BITS, f & ((1 << BITS) - 1)] = 1 + np.log(tf)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # sorted
+    tf = np.diff(np.append(first, len(key)))
+    f = key[first]
+    who, f = f >> BITS, f & ((1 << BITS) - 1)
+    w = (1 + np.log(tf)) * idf[f]
+    norm = np.sqrt(np.bincount(who, weights=w * w, minlength=n))
+    x[who, f] = w / np.maximum(norm[who], 1e-9)
     return x
 
 
+def _clustered(own: np.ndarray, m: int, starts: int = STARTS) -> np.ndarray:
+    """Centroids of rows of length 1: spherical k-means from far-apart starts,
+    the run of least loss."""
+    if m < 2:
+        return _unit(own.sum(0))[None]
+    gram = own @ own.T  # all the runs need: a centroid is a sum of rows
+    best, least = None, np.inf
+    for seed in range(starts):
+        rng = np.random.default_rng(seed)
+        first = [int(rng.integers(len(own)))]
+        while len(first) < m:
+            far = np.maximum(1 - gram[:, first].max(1), 0) + 1e-9
+            first.append(int(rng.choice(len(own), p=far / far.sum())))
+        cos = gram[:, first]
+        for _ in range(12):
+            near = cos.argmax(1)
+            member = (near[:, None] == np.arange(m)).astype(np.float32)
+            sums = gram @ member
+            cos = sums / np.sqrt(np.maximum((member * sums).sum(0), 1e-9))
+        near, loss = cos.argmax(1), float((1 - cos.max(1)).sum())
+        if loss < least:
+            best, least = near, loss
+    # A cluster of hardly any rows is noise.
+    size = np.bincount(best, minlength=m)
+    return np.stack([_unit(own[best == j].sum(0)) for j in range(m) if size[j] >= max(2, len(own) // (8 * m))])
+
+
 def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
-    """Fit centroids on (label, text) rows; the labels may be wrong in part."""
+    """Fit centroids on (label, text) rows; the labels may be wrong in part and
+    the texts mixed.  Every fifth row measures the leads only."""
     rows = [*SEEDS.items(), *(r for r in rows if r[1] and r[1].strip())]
     texts = [t for _, t in rows]
     y = np.asarray([LANGS.index(c) for c, _ in rows])
-    key, letters, signs = features([_own_words(t) for t in texts])
+    who, start, end = unit_arrays(texts)
+    parts = [_own_words(texts[i][a:b]) for i, a, b in zip(who.tolist(), start.tolist(), end.tolist())]
+    key, letters, signs = features(parts)
+    size = letters + signs
+    part, feature = key >> BITS, key & ((1 << BITS) - 1)
     n = len(rows)
-    df = np.bincount(np.unique(key) & ((1 << BITS) - 1), minlength=1 << BITS)
+    held = (np.arange(n) % 5 == 4) & (np.arange(n) >= len(SEEDS))
+    doc_key = np.sort(who[part] << BITS | feature)
+    df = np.bincount(doc_key[np.diff(doc_key, prepend=-1) > 0] & ((1 << BITS) - 1), minlength=1 << BITS)
     idf = (np.log((1 + n) / (1 + df)) + 0.3).astype(np.float32)
-    x = _dense(key, n, idf)
-    keep = (letters + signs) > 0
-    # Put rows aside that another language claims (wrong or mixed labels).
-    for _ in range(3):
+
+    def single(keep: np.ndarray, x: np.ndarray) -> Model:
         c = np.stack([_unit(x[(y == k) & keep].sum(0)) for k in range(len(LANGS))])
-        keep = ((x @ c.T).argmax(1) == y) & ((letters + signs) > 0)
+        return Model(idf, np.ascontiguousarray(c.T), np.arange(len(LANGS)))
+
+    def judged(model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Each part's language, and the share of its letters that a document's
+        label claims."""
+        cos = _cosines(model, key, part, len(parts))
+        lang, _, lead, *_ = model.decided(cos, size, signs)
+        claimed = np.bincount(who, weights=np.where(lang == y[who], size, 0), minlength=n)
+        return np.where(lead >= OWN_LEAD, lang, -1), claimed / np.maximum(np.bincount(who, weights=np.where(lang >= 0, size, 0), minlength=n), 1)
+
+    x = _dense(doc_key, n, idf)
+    keep = np.bincount(who, weights=size, minlength=n) > 0
+    for _ in range(3):  # rows put aside that another language claims
+        cos = x @ single(keep, x).weights
+        keep = (cos.argmax(1) == y) & (np.bincount(who, weights=size, minlength=n) > 0)
         keep[: len(SEEDS)] = True
-    cents, langs = [], []
-    rng = np.random.default_rng(7)
-    for k in range(len(LANGS)):
-        own = x[(y == k) & keep]
-        m = min(clusters, max(1, len(own) // 20))
-        c = own[rng.choice(len(own), m, replace=False)]
-        for _ in range(6 if m > 1 else 1):
-            near = (own @ c.T).argmax(1)
-            c = np.stack([_unit(own[near == j].sum(0)) if (near == j).any() else c[j] for j in range(m)])
-        cents += [*c]
-        langs += [k] * m
-    return Model(idf, np.ascontiguousarray(np.stack(cents).T), np.asarray(langs))
+    for _ in range(2):  # each document without its sentences in other languages
+        lang, share = judged(single(keep, x))
+        own = (lang == y[who]) | (who < len(SEEDS))
+        x = _dense(np.sort((who[part] << BITS | feature)[own[part]]), n, idf)
+        keep = (share > 0.5) & (np.bincount(who[own], minlength=n) > 0)
+        keep[: len(SEEDS)] = True
+
+    def clustered(use: np.ndarray) -> Model:
+        cents, langs = [], []
+        for k in range(len(LANGS)):
+            rows_of = x[(y == k) & use]
+            c = _clustered(rows_of, min(clusters, max(1, len(rows_of) // CLUSTER_DOCS)))
+            cents += [*c]
+            langs += [k] * len(c)
+        return Model(idf, np.ascontiguousarray(np.stack(cents).T), np.asarray(langs))
+
+    # What rivals reach in held-out documents that are otherwise of one language.
+    trial = clustered(keep & ~held)
+    cos = _cosines(trial, key, part, len(parts))
+    lang, top, lead, best, rival = trial.decided(cos, size, signs)
+    share = judged(trial)[1]
+    pure = held[who] & (share[who] > 1 - FOREIGN) & _sentences(parts)
+    leads = np.full((len(LANGS), len(LANGS)), MIN_LEAD)
+    for a in range(len(LANGS)):
+        for b in range(len(LANGS)):
+            own = pure & (y[who] == b)
+            wrong = np.sort(lead[own & (lang == a)])[::-1] if a != b else []
+            most = int(MISTAKES * own.sum())
+            if len(wrong) > most:
+                leads[a, b] = min(MOST_LEAD, max(MIN_LEAD, float(wrong[most]) + 0.005))
+    whole = clustered(keep)
+    return Model(idf, whole.weights, whole.langs, leads)
+
+
+def _cosines(model: Model, key: np.ndarray, part: np.ndarray, n: int) -> np.ndarray:
+    """``Model.cosines`` of sorted keys, some features at a time."""
+    out = np.zeros((n, len(LANGS)), dtype=np.float32)
+    at = 0
+    while at < len(key):
+        end = min(at + STEP, len(key))
+        end = len(key) if end == len(key) else int(np.searchsorted(part, part[end]))
+        end = end if end > at else int(np.searchsorted(part, part[at], "right"))
+        first = int(part[at])
+        last = int(part[end - 1]) + 1
+        out[first:last] = model.cosines(key[at:end] - (first << BITS), last - first)
+        at = end
+    return out
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -210,19 +344,17 @@ def sample(docs: DataFrame, per_label: int = SAMPLE_DOCS, chars: int = SAMPLE_CH
     span = 1 << 30
     share = F.create_map(*(F.lit(v) for c, n in counts.items() for v in (c, int(span * min(1.0, 1.3 * per_label / n)))))
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(span))
-    got = coded.where((mark < share[F.col("code")]) & (F.length("text") < chars)).select("code", "text", mark.alias("mark")).collect()
-    out, docs_of, chars_of = [], {}, {}
-    for r in sorted(got, key=lambda r: (r.mark, r.text)):
-        if docs_of.get(r.code, 0) < per_label and chars_of.get(r.code, 0) < chars:
-            out.append((r.code, r.text))
-            docs_of[r.code] = docs_of.get(r.code, 0) + 1
-            chars_of[r.code] = chars_of.get(r.code, 0) + len(r.text)
-    return out
+    some = coded.where((mark < share[F.col("code")]) & (F.length("text") < chars)).select("doc_id", "code", mark.alias("mark"), F.length("text").alias("n"), "text")
+    # About 1.3 * per_label rows a label are left: their running sums are small.
+    w = Window.partitionBy("code").orderBy("mark", "doc_id")
+    bounded = some.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(w))
+    got = bounded.where((F.col("before") < chars) & (F.col("place") <= per_label)).select("code", "mark", "doc_id", "text").collect()
+    return [(r.code, r.text) for r in sorted(got, key=lambda r: (r.mark, r.doc_id))]
 
 
-def _judged(model: Model, texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _judged(model: Model, texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(units of each text, then of all units: letters, language or -1, cosine,
-    lead, nearest language)."""
+    lead, nearest language, is it a whole sentence)."""
     owners = units_of(texts)
     parts = [_own_words(t[a:b]) for t, own in zip(texts, owners) for a, b in own]
     n = len(parts)
@@ -236,19 +368,14 @@ def _judged(model: Model, texts: list[str]) -> tuple[list[list[tuple[int, int]]]
         key, letters[at:end], signs[at:end] = features(parts[at:end])
         cos[at:end] = model.cosines(key, end - at)
         at = end
-    best = cos.argmax(1)
-    top = cos[np.arange(n), best]
-    rest = cos.copy()
-    rest[np.arange(n), best] = -1
-    lead = top - rest.max(1, initial=-1)
-    ok = (top >= MIN_COSINE) & (lead >= MIN_LEAD) & (letters + 3 * signs >= MIN_LETTERS)
-    return owners, letters + signs, np.where(ok, best, -1), top, lead, best
+    lang, top, lead, best, _ = model.decided(cos, letters + signs, signs)
+    return owners, letters + signs, lang, top, lead, best, _sentences(parts)
 
 
 def unit_languages(model: Model, texts: list[str]) -> list[list[tuple[int, int, int, int, float, float, int]]]:
     """Per text: (start, end, letters, language or -1, cosine, lead, nearest
     language) of its units."""
-    owners, *cols = _judged(model, texts)
+    owners, *cols, _ = _judged(model, texts)
     rows = list(zip(*(c.tolist() for c in cols)))
     out, i = [], 0
     for own in owners:
@@ -258,14 +385,16 @@ def unit_languages(model: Model, texts: list[str]) -> list[list[tuple[int, int,
 
 
 def _cases(model: Model, ids: list, texts: list, labels: list) -> dict[str, list]:
-    owners, n, lang, _, _, near = _judged(model, [t or "" for t in texts])
+    owners, n, lang, _, _, near, whole = _judged(model, [t or "" for t in texts])
     k = len(LANGS)
     doc = np.repeat(np.arange(len(texts)), [len(o) for o in owners])
     ok = lang >= 0
     letters = np.bincount(doc[ok] * k + lang[ok], weights=n[ok], minlength=len(texts) * k).reshape(-1, k)
+    # Another language must hold a whole sentence: a heading alone tells too little.
+    told = np.bincount(doc[ok] * k + lang[ok], weights=whole[ok], minlength=len(texts) * k).reshape(-1, k) > 0
     loose = np.bincount(doc * k + near, weights=n, minlength=len(texts) * k).reshape(-1, k)
     out: dict[str, list] = {"doc_id": [], "case_kind": [], "lang": []}
-    for i, label, sure, any_ in zip(ids, labels, letters, loose):
+    for i, label, sure, any_, spoken in zip(ids, labels, letters, loose, told):
         if i is None or not any_.any():
             continue
         code = label_code(label)
@@ -274,8 +403,9 @@ def _cases(model: Model, ids: list, texts: list, labels: list) -> dict[str, list
         else:
             own = code or LANGS[int(any_.argmax())]
         found = [("label", own)] if code != own else []
-        if (sure > 0).sum() > 1:
-            found += [("mixed", LANGS[j]) for j in np.flatnonzero(sure)]
+        spoken[LANGS.index(own)] = True
+        if spoken.sum() > 1:
+            found += [("mixed", LANGS[j]) for j in np.flatnonzero(spoken)]
         for kind, c in found:
             out["doc_id"].append(i)
             out["case_kind"].append(kind)
@@ -325,3 +455,30 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"))
     return map_texts(rows, fn, "doc_id bigint, start_pos int, end_pos int, lang string, confidence double", ["text"])
+
+
+def document_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, lang, confidence) of every document with letters."""
+    model = model or fit(sample(docs))
+
+    def fn(b: pa.RecordBatch) -> dict[str, list]:
+        out: dict[str, list] = {"doc_id": [], "lang": [], "confidence": []}
+        texts = [t or "" for t in str_col(b, "text")]
+        for i, label, units in zip(str_col(b, "doc_id"), str_col(b, "lang"), unit_languages(model, texts)):
+            sure, loose, weight = [0] * len(LANGS), [0] * len(LANGS), [0.0] * len(LANGS)
+            for _, _, n, lang, top, lead, near in units:
+                loose[near] += n
+                if lang >= 0:
+                    sure[lang] += n
+                    weight[lang] += n * min(1.0, lead / max(top, 1e-9))
+            if i is None or not any(loose):
+                continue
+            own = max(range(len(LANGS)), key=lambda k: (sure[k], -k))
+            code = LANGS[own] if sure[own] else label_code(label) or LANGS[max(range(len(LANGS)), key=lambda k: (loose[k], -k))]
+            out["doc_id"].append(i)
+            out["lang"].append(code)
+            out["confidence"].append(round(weight[own] / sum(loose), 4) if sure[own] else 0.0)
+        return out
+
+    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"))
+    return map_texts(rows, fn, "doc_id bigint, lang string, confidence double", ["text"]).dropDuplicates(["doc_id"])

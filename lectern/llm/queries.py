@@ -166,6 +166,12 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_segments(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.langid import document_languages
+
+    return document_languages(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 

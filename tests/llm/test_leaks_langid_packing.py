@@ -153,3 +153,61 @@ def test_pack(spark):
     assert got.groupby("doc_id").size()[lambda s: s > 1].to_dict() == {5000: 3, 5001: 2}
     assert packing.pack(df.limit(0)).count() == 0
     assert packing.packing_report(packing.pack(df)).first().used > 0.98
+
+
+PARTS = {
+    "es": ("El capitán|La vecina|Mi hermano|El panadero|Una niña", "vendió|encontró|escondió|pintó|rompió", "el abrigo verde|una llave vieja|la cuerda larga|un mapa roto|las cajas", "en el puerto|detrás del molino|bajo el puente|en la bodega|antes de la tormenta"),
+    "pt": ("O capitão|A vizinha|Meu irmão|O padeiro|Uma menina", "vendeu|encontrou|escondeu|pintou|quebrou", "o casaco verde|uma chave velha|a corda comprida|um mapa rasgado|as caixas", "no porto|atrás do moinho|sob a ponte|na adega|antes da tempestade"),
+    "zh": ("船长|邻居|我哥哥|面包师|小女孩", "卖掉了|找到了|藏起了|漆好了|打破了", "绿色的外套|一把旧钥匙|长绳|破地图|木箱", "在港口|在磨坊后面|在桥下|在地窖里|在暴风雨之前"),
+    "ja": ("船長は|隣人は|兄は|パン屋は|少女は", "売った|見つけた|隠した|塗った|壊した", "緑の外套を|古い鍵を|長い縄を|破れた地図を|木箱を", "港で|水車小屋の裏で|橋の下で|地下室で|嵐の前に"),
+    "en": ("The captain|The neighbour|My brother|The baker|A girl", "sold|found|hid|painted|broke", "the green coat|an old key|the long rope|a torn map|the crates", "at the harbour|behind the mill|under the bridge|in the cellar|before the storm"),
+}
+
+
+def _said(r, c):
+    a, v, o, w = (r.choice(x.split("|")) for x in PARTS[c])
+    name = r.choice("Orrin Velkar Maskell Zennor Tamsel Greloth".split())
+    if c in ("zh", "ja"):
+        return (a + w + o + v if c == "ja" else a + w + v + o) + "。"
+    return f"{a} {name} {v} {o} {w}."
+
+
+def _corpus(r, n):
+    """(text, label, true language, true languages if mixed) with noisy labels."""
+    out = []
+    for _ in range(n):
+        c = r.choice(list(PARTS))
+        other = {"es": "pt", "pt": "es", "zh": "ja", "ja": "zh", "en": "es"}[c]
+        lines = [_said(r, c) for _ in range(r.randint(6, 14))]
+        mixed = r.random() < 0.15
+        if mixed:
+            lines[1 : 1 + r.randint(1, 3)] = [_said(r, other) for _ in range(2)]
+        sep = "" if c in ("zh", "ja") else " "
+        label = r.choice([None, other, "xx"]) if r.random() < 0.08 else c
+        out.append((sep.join(lines), label, c, {c, other} if mixed else set()))
+    return out
+
+
+def test_fit_is_the_same_on_any_sample():
+    """Recall and precision over samples: close languages, mixed texts, wrong labels."""
+    for seed in range(5):
+        r = random.Random(seed)
+        model = langid.fit([(c, t) for t, label, _, _ in _corpus(r, 500) if (c := langid.label_code(label))])
+        rows = _corpus(random.Random(100 + seed), 600)
+        o = langid._cases(model, list(range(len(rows))), [x[0] for x in rows], [x[1] for x in rows])
+        got = set(zip(o["doc_id"], o["case_kind"], o["lang"]))
+        want = {(i, "label", c) for i, (_, label, c, _) in enumerate(rows) if langid.label_code(label) != c} | {(i, "mixed", m) for i, x in enumerate(rows) for m in x[3]}
+        assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got), seed
+
+
+def test_headings_mix_nothing(model):
+    text = SAMPLE["en"] + "\nKapitel neun der alte Fährmann am Hafen\n" + SAMPLE["en"]
+    assert langid._cases(model, [1], [text], ["en"])["lang"] == []
+
+
+def test_document_confidence(spark, model):
+    rows = [(1, SAMPLE["en"], None), (2, SAMPLE["en"] + " " + SAMPLE["de"].partition(".")[0] + ".", "en"), (3, "Zennor", "fr"), (4, None, "en"), (5, "12", None), (1, SAMPLE["en"], None)]
+    got = {r.doc_id: (r.lang, r.confidence) for r in langid.document_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "en", 2: "en", 3: "fr"}
+    assert got[1][1] > got[2][1] > got[3][1] == 0
+    assert langid.document_languages(spark.createDataFrame([], "doc_id bigint, text string, lang string"), model).count() == 0
