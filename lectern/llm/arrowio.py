@@ -7,6 +7,7 @@ very long texts needs no more memory than one full of short ones.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -59,6 +60,25 @@ def map_texts(
     return df.mapInArrow(run, parsed)
 
 
+def stored(df: DataFrame, *by: str) -> str:
+    """Write a table to the shared folder, in parts by columns where given, and
+    give its path: what tasks open themselves, piece by piece."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    w = df.write.mode("overwrite")
+    (w.partitionBy(*by) if by else w).parquet(path)
+    return path
+
+
+def loaded(path: str, columns: list[str]) -> pa.Table:
+    """A part of a stored table, read by a task; empty where there is no part."""
+    from pyarrow import dataset, fs
+
+    at, where = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if at.get_file_info(where).type == fs.FileType.NotFound:
+        return pa.table({c: pa.array([], pa.binary() if c in ("codes", "starts") else pa.int64()) for c in columns})
+    return dataset.dataset(where, filesystem=at, format="parquet").to_table(columns=columns)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,4 +89,4 @@ def str_col(b: pa.RecordBatch, name: str) -> list:
     return b.column(b.schema.get_field_index(name)).to_pylist()
 
 
-__all__ = ["BATCH_CHARS", "F", "cut", "map_texts", "read", "shared_dir", "sliced", "spread", "str_col"]
+__all__ = ["BATCH_CHARS", "F", "cut", "loaded", "map_texts", "read", "shared_dir", "sliced", "spread", "stored", "str_col"]

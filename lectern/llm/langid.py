@@ -44,7 +44,7 @@ SAMPLE_DOCS = 160
 SAMPLE_CHARS = 160_000
 #: Centroids of a language at most, one for each ``CLUSTER_DOCS`` documents, and
 #: starts of which the best is kept.
-CLUSTERS, CLUSTER_DOCS, STARTS = 4, 20, 6
+CLUSTERS, CLUSTER_DOCS, STARTS = 3, 20, 6
 BITS = 16
 #: Least cosine with the nearest centroid, least lead over another language's,
 #: and least letters (signs count three) of a unit that speaks for itself.

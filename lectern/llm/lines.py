@@ -1,16 +1,23 @@
 """Problem 3: lines repeated across the documents of one site.
 
-Per site each line's documents are a compressed bitmap (containers of 2^16 ids:
-a sorted array of 16-bit numbers while sparse, 8 KB of bits when dense).  Every
-map task builds the bitmaps of its own lines, so a site or a line that holds a
-third of all rows arrives at the shuffle as a few containers; the bitmaps of a
-line's variants are united by (site, line, container), exact cardinalities are
-compared with the thresholds, and lines are removed by looking documents up in
-the bitmaps that passed (unfolded by document, so no task gets a whole site).
+Every line has a key, equal for lines that look the same, and a variant, the line
+as stored.  Per site each variant's documents are a compressed bitmap (containers
+of 2^12 ids: a sorted array of 16-bit numbers while sparse, 512 bytes of bits when
+dense), built by each map task for its own lines, so a site or a line that holds a
+third of all rows arrives at the shuffle as a few containers.  A variant's
+bitmaps of all tasks are united, then the bitmaps of a line's variants; lines of
+fewer than ``min_docs`` documents go at once, the others' exact cardinalities are
+compared with the thresholds.
+
+A line is deleted where its document stands in its bitmap: lines and bitmaps that
+passed meet by container, which holds 2^12 ids however many sites and lines there
+are.  Before they are dealt by container, lines are let through by a bit set of
+2^20 key hashes, whose false hits the bitmaps refuse.  Texts are read once and
+never shuffled.
 
 Defined results: lines end at LF or CRLF; a line without letters is never a
 case; a document without site can only repeat its own title; a NULL text has no
-lines; a document given twice counts once.
+lines; a document or book given twice counts once.
 """
 
 from __future__ import annotations
@@ -30,7 +37,11 @@ from lectern.llm.look import consistent_form
 
 MIN_DOCS = 5
 MIN_SHARE = 0.05
-DENSE = 4096  # ids of a container from which bits are smaller than an array
+#: Ids of a container, as bits, and how many of them take more room as an array.
+CONTAINER = 12
+DENSE = 1 << (CONTAINER - 4)
+#: Bits of the set of keys that lines are let through by.
+KEY_BITS = 20
 
 _LINE_END = re.compile(r"\r?\n")
 _DROP = re.compile(r"[\d\s]+")
@@ -42,7 +53,7 @@ def line_key(line: str | None) -> bytes | None:
     figures and white space; None for lines without a letter."""
     if not line or not _LETTER.search(line):
         return None
-    form = _DROP.sub("", consistent_form(line).casefold())
+    form = _DROP.sub("", (line if line.isascii() else consistent_form(line)).casefold())
     return xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")) if form else None
 
 
@@ -52,16 +63,16 @@ def lines_of(text: str) -> list[str]:
 
 # --- containers ---------------------------------------------------------------
 def pack(low: np.ndarray) -> bytes:
-    """A container of sorted distinct 16-bit numbers."""
+    """A container of sorted distinct numbers."""
     if len(low) < DENSE:
         return low.astype("<u2").tobytes()
-    bits = np.zeros(1 << 16, dtype=bool)
+    bits = np.zeros(1 << CONTAINER, dtype=bool)
     bits[low] = True
     return np.packbits(bits).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if len(data) == 1 << 13:
+    if len(data) == 1 << (CONTAINER - 3):
         return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8))).astype(np.int64)
     return np.frombuffer(data, dtype="<u2").astype(np.int64)
 
@@ -69,163 +80,218 @@ def unpack(data: bytes) -> np.ndarray:
 def unite(parts: list[bytes]) -> bytes:
     if len(parts) == 1:
         return parts[0]
-    if any(len(p) == 1 << 13 for p in parts):
-        bits = np.zeros(1 << 16, dtype=bool)
-        for p in parts:
-            bits[unpack(p)] = True
-        return np.packbits(bits).tobytes()
-    return pack(np.unique(np.concatenate([np.frombuffer(p, dtype="<u2") for p in parts])))
+    return pack(np.unique(np.concatenate([unpack(p) for p in parts])))
 
 
-def _keyed(b: pa.RecordBatch) -> dict[str, list]:
-    seen: dict[str, bytes | None] = {}
-    out: dict[str, list] = {"doc_id": [], "book_id": [], "line_no": [], "key": []}
+# --- lines of documents -----------------------------------------------------------
+#: A line with a letter: its number, key and variant (a hash of it as stored).
+_LINE = np.dtype([("no", "<i4"), ("key", "V16"), ("variant", "<i8")])
+
+
+def _lined(b: pa.RecordBatch) -> dict[str, list]:
+    """One slim row a document; its lines packed into one value."""
+    seen: dict[str, tuple[bytes, int] | None] = {}
+    out: dict[str, list] = {"doc_id": [], "book_id": [], "lines": []}
     for doc, book, text in zip(str_col(b, "doc_id"), str_col(b, "book_id"), str_col(b, "text")):
-        if doc is None or not text:
+        if doc is None:
             continue
-        for n, line in enumerate(lines_of(text), 1):
+        rows = []
+        for n, line in enumerate(lines_of(text or ""), 1):
             if line not in seen:
-                seen[line] = line_key(line)
-            k = seen[line]
-            if k is not None:
-                out["doc_id"].append(doc)
-                out["book_id"].append(book)
-                out["line_no"].append(n)
-                out["key"].append(k)
+                k = line_key(line)
+                seen[line] = None if k is None else (k, xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63))
+            if (found := seen[line]) is not None:
+                rows.append((n, *found))
+        out["doc_id"].append(doc)
+        out["book_id"].append(book)
+        out["lines"].append(np.array(rows, dtype=_LINE).tobytes())
     return out
 
 
-_BITS = pa.schema([("site", pa.string()), ("key", pa.binary()), ("hi", pa.int64()), ("bits", pa.binary()), ("n", pa.int64())])
+def site_lines(docs: DataFrame, books: DataFrame) -> DataFrame:
+    """(doc_id, site, title_key, lines) of every document.
+
+    ``docs``: doc_id, book_id, text; ``books``: book_id, site, title.  Only the
+    slim rows of documents are joined with the books, never the texts.
+    """
+    rows = spread(docs.select("doc_id", "book_id", "text"))
+    lines = map_texts(rows, _lined, "doc_id bigint, book_id bigint, lines binary", ["text"])
+    own = map_texts(
+        books.select(F.col("book_id").cast("bigint").alias("book_id"), "site", "title"),
+        lambda b: {"book_id": str_col(b, "book_id"), "site": str_col(b, "site"), "title_key": [line_key(t) for t in str_col(b, "title")]},
+        "book_id bigint, site string, title_key binary",
+        ["title"],
+    )
+    own = own.where("book_id is not null").dropDuplicates(["book_id"])
+    return lines.join(own, "book_id", "left").select("doc_id", "site", "title_key", "lines")
+
+
+# --- bitmaps of lines -------------------------------------------------------------
+_PARTS = "site string, key binary, variant bigint, hi bigint, bits binary"
+_PART_SCHEMA = pa.schema([("site", pa.string()), ("key", pa.binary()), ("variant", pa.int64()), ("hi", pa.int64()), ("bits", pa.binary())])
+_BITMAPS = "site string, key binary, hi bigint, bits binary, n bigint"
+_BITMAP_SCHEMA = pa.schema([("site", pa.string()), ("key", pa.binary()), ("hi", pa.int64()), ("bits", pa.binary()), ("n", pa.int64())])
 _ROWS = 20_000
 
 
-def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _BITS)], schema=_BITS)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Containers of the rows of one task, let go when many are held."""
+    """Containers of each variant of one task, let go when many are held."""
     held: dict[tuple, list[int]] = defaultdict(list)
     n = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = []
-        for (site, key, hi), low in held.items():
-            c = np.unique(np.asarray(low, dtype=np.int64))
-            rows.append((site, key, hi, pack(c), len(c)))
+        for (site, key, variant, hi), low in held.items():
+            rows.append((site, key, variant, hi, pack(np.unique(np.asarray(low, dtype=np.int64)) if len(low) > 1 else np.asarray(low, dtype=np.int64))))
             if len(rows) >= _ROWS:
-                yield _emit(rows)
+                yield _batch(rows, _PART_SCHEMA)
                 rows = []
         if rows:
-            yield _emit(rows)
+            yield _batch(rows, _PART_SCHEMA)
         held.clear()
 
     for b in batches:
-        for site, key, doc in zip(str_col(b, "site"), str_col(b, "key"), str_col(b, "doc_id")):
-            held[site, key, doc >> 16].append(doc & 0xFFFF)
-        n += b.num_rows
+        for site, doc, data in zip(str_col(b, "site"), str_col(b, "doc_id"), str_col(b, "lines")):
+            rows = np.frombuffer(data, dtype=_LINE)
+            hi, low = doc >> CONTAINER, doc & ((1 << CONTAINER) - 1)
+            for key, variant in zip(rows["key"].tolist(), rows["variant"].tolist()):
+                held[site, key, variant, hi].append(low)
+            n += len(rows)
         if n > 300_000:
             yield from flush()
             n = 0
     yield from flush()
 
 
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unite equal (site, key, hi), which come sorted next to each other."""
-    rows: list[tuple] = []
-    at, parts = None, []
-
-    def close() -> None:
-        if at is not None:
-            bits = unite(parts)
-            rows.append((*at, bits, len(unpack(bits))))
-
-    for b in batches:
-        for site, key, hi, bits in zip(*(str_col(b, c) for c in ("site", "key", "hi", "bits"))):
-            if (site, key, hi) != at:
-                close()
-                at, parts = (site, key, hi), []
-                if len(rows) >= _ROWS:
-                    yield _emit(rows)
-                    rows = []
-            parts.append(bits)
-            if len(parts) > 64:
-                parts = [unite(parts)]
-    close()
-    if rows:
-        yield _emit(rows)
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key) of every document of the bitmaps."""
+def _united(least: int):  # noqa: ANN202
+    """Unite the parts of each variant, then the variants of each line, which come
+    sorted next to each other; lines of fewer than ``least`` documents go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = at = variant = None
+        parts: list[bytes] = []  # of the variant at hand
+        variants: list[bytes] = []  # of the container at hand
+        waiting: list[tuple] = []  # containers of the line at hand
+        total = 0
+        out: list[tuple] = []
+
+        def end_variant() -> None:
+            nonlocal parts
+            if parts:
+                variants.append(unite(parts))
+            parts = []
+
+        def end_container() -> None:
+            nonlocal variants, total
+            end_variant()
+            if variants:
+                bits = unite(variants)
+                n = len(unpack(bits))
+                total += n
+                waiting.append((*line, at, bits, n))
+            variants = []
+            if total >= least:
+                out.extend(waiting)
+                waiting.clear()
+
+        for b in batches:
+            for site, key, v, hi, bits in zip(*(str_col(b, c) for c in ("site", "key", "variant", "hi", "bits"))):
+                if (site, key) != line or hi != at:
+                    end_container()
+                    if (site, key) != line:
+                        waiting.clear()
+                        total = 0
+                    line, at, variant = (site, key), hi, v
+                elif v != variant:
+                    end_variant()
+                    variant = v
+                parts.append(bits)
+                if len(parts) > 64:
+                    parts = [unite(parts)]
+            if len(out) >= _ROWS:
+                yield _batch(out, _BITMAP_SCHEMA)
+                out.clear()
+        end_container()
+        if out:
+            yield _batch(out, _BITMAP_SCHEMA)
+
+    return run
+
+
+def line_bitmaps(rows: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """(site, key, hi, bits, n): the documents of each line of each site that
+    stands in ``least`` documents or more."""
+    parts = rows.where("site is not null").select("site", "doc_id", "lines").mapInArrow(_build, _PARTS)
+    near = parts.repartition("site", "key").sortWithinPartitions("site", "key", "hi", "variant")
+    return near.mapInArrow(_united(least), _BITMAPS)
+
+
+# --- deletion ---------------------------------------------------------------------
+def _hash(key: bytes) -> int:
+    return int.from_bytes(key[:4], "little") & ((1 << KEY_BITS) - 1)
+
+
+def _let_through(batches: Iterator[pa.RecordBatch], keys: bytes) -> Iterator[pa.RecordBatch]:
+    """Lines that may be repeated, by the bit set of keys, and documents' titles."""
+    may = np.unpackbits(np.frombuffer(keys, dtype=np.uint8)).astype(bool)
     for b in batches:
-        for key, hi, bits in zip(*(str_col(b, c) for c in ("key", "hi", "bits"))):
-            ids = unpack(bits) + (hi << 16)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([key] * len(ids), type=pa.binary())], names=["doc_id", "key"])
-
-
-def site_lines(docs: DataFrame, books: DataFrame) -> DataFrame:
-    """(doc_id, line_no, key, site, is_title) of every line with a letter.
-
-    ``docs``: doc_id, book_id, text; ``books``: book_id, site, title.  Only the
-    slim rows of lines are joined with the books, never the texts.
-    """
-    rows = spread(docs.select("doc_id", "book_id", "text"))
-    lines = map_texts(rows, _keyed, "doc_id bigint, book_id bigint, line_no int, key binary", ["text"])
-    own = map_texts(
-        books.select(F.col("book_id").cast("bigint"), "site", "title"),
-        lambda b: {"book_id": str_col(b, "book_id"), "site": str_col(b, "site"), "title_key": [line_key(t) for t in str_col(b, "title")]},
-        "book_id bigint, site string, title_key binary",
-        ["title"],
-    ).where("book_id is not null")
-    return (
-        lines.join(own, "book_id", "left")
-        .select("doc_id", "line_no", "key", "site", F.coalesce(F.col("key") == F.col("title_key"), F.lit(False)).alias("is_title"))
-        .distinct()
-    )
-
-
-def line_bitmaps(lines: DataFrame) -> DataFrame:
-    """(site, key, hi, bits, n): the documents of each line of each site."""
-    parts = lines.where("site is not null").select("site", "key", "doc_id").mapInArrow(_build, "site string, key binary, hi bigint, bits binary, n bigint")
-    near = parts.repartition("site", "key", "hi").sortWithinPartitions("site", "key", "hi")
-    return near.mapInArrow(_union, "site string, key binary, hi bigint, bits binary, n bigint")
-
-
-def repeated_lines(
-    docs: DataFrame, books: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE
-) -> DataFrame:
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
+        for doc, site, title, data in zip(*(str_col(b, c) for c in ("doc_id", "site", "title_key", "lines"))):
+            rows = np.frombuffer(data, dtype=_LINE)
+            found = rows["key"].tolist()
+            heads = np.frombuffer(data, dtype=np.uint8).reshape(-1, _LINE.itemsize)[:, 4:8].copy().view("<u4")[:, 0] & ((1 << KEY_BITS) - 1)
+            own = [title is not None and k == title for k in found]
+            for i in np.flatnonzero(may[heads] | np.asarray(own, dtype=bool)).tolist():
+                for c, v in zip(cols, (doc >> CONTAINER, doc, site, int(rows["no"][i]), found[i], own[i])):
+                    c.append(v)
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["hi", "doc_id", "site", "line_no", "key", "title"])
+
+
+def _looked_up(lines: pa.Table, bitmaps: pa.Table) -> pa.Table:
+    """Lines of one container whose documents stand in their bitmaps."""
+    sets = {(s, k): set(unpack(x).tolist()) for s, k, x in zip(*(bitmaps.column(c).to_pylist() for c in ("site", "key", "bits")))}
+    docs, numbers = [], []
+    for doc, site, no, key, title in zip(*(lines.column(c).to_pylist() for c in ("doc_id", "site", "line_no", "key", "title"))):
+        if title or (doc & ((1 << CONTAINER) - 1)) in sets.get((site, key), ()):
+            docs.append(doc)
+            numbers.append(no)
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "line_no": pa.array(numbers, pa.int32())})
+
+
+def repeated_lines(docs: DataFrame, books: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, line_no) of every line to be removed."""
-    lines = cut(site_lines(docs, books))
-    bitmaps = cut(line_bitmaps(lines))
-    sizes = (
-        docs.select("doc_id", "book_id").distinct().join(books.select("book_id", "site").distinct(), "book_id")
-        .where("site is not null").groupBy("site").agg(F.count_distinct("doc_id").alias("docs"))
-    )
+    rows = cut(site_lines(docs, books))
+    bitmaps = cut(line_bitmaps(rows, min_docs))
+    sizes = rows.where("site is not null").groupBy("site").agg(F.count_distinct("doc_id").alias("docs"))
     often = (
         bitmaps.groupBy("site", "key").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_docs)
         .join(sizes, "site")
-        .where(F.col("n") >= min_share * F.col("docs"))
+        .where((F.col("n") >= min_docs) & (F.col("n") >= min_share * F.col("docs")))
         .select("site", "key")
     )
-    kept = bitmaps.join(often, ["site", "key"], "left_semi").select("key", "hi", "bits")
-    looked_up = kept.mapInArrow(_documents, "doc_id bigint, key binary")
-    slim = lines.select("doc_id", "line_no", "key")
-    return slim.join(looked_up, ["doc_id", "key"], "left_semi").select("doc_id", "line_no").unionByName(lines.where("is_title").select("doc_id", "line_no")).distinct()
+    kept = cut(bitmaps.join(often, ["site", "key"], "left_semi").select("site", "key", "hi", "bits"))
+    # At most 2^KEY_BITS numbers, whatever the size of the data.
+    may = np.zeros(1 << KEY_BITS, dtype=bool)
+    may[kept.select("key").distinct().mapInArrow(_hashes, "hash int").distinct().toArrow().column("hash").to_numpy()] = True
+    keys = np.packbits(may).tobytes()
+    lines = rows.mapInArrow(lambda b: _let_through(b, keys), "hi bigint, doc_id bigint, site string, line_no int, key binary, title boolean")
+    return lines.groupBy("hi").cogroup(kept.groupBy("hi")).applyInArrow(_looked_up, "doc_id bigint, line_no int").distinct()
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({_hash(k) for k in str_col(b, "key")}), type=pa.int32())], names=["hash"])
 
 
 def without_lines(docs: DataFrame, removals: DataFrame, out: str = "clean_text") -> DataFrame:
     """``docs`` (doc_id, text, ...) with the text less its removed lines; other
     lines and their ends stay as they are."""
-
-    @F.udf("string", useArrow=True)
-    def rest(text: str | None, gone: list | None) -> str | None:
-        if text is None or not gone:
-            return text
-        drop = set(gone)
-        parts = re.split(r"(?<=\n)", text)
-        return "".join(p for n, p in enumerate(parts, 1) if n not in drop)
-
-    per_doc = removals.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    return docs.join(per_doc, "doc_id", "left").withColumn(out, rest("text", "_gone")).drop("_gone")
+    per_doc = removals.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # no more than the document's lines
+    parts = F.split("text", r"(?<=\n)")
+    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i + 1)), "")
+    return docs.join(per_doc, "doc_id", "left").withColumn(out, F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)).drop("_gone")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import langid, leaks, packing
-from lectern.llm.leaks import Index, leaked_items
+from lectern.llm.leaks import aligned, bands, index_of, leaked_items
 
 WORDS = "amber basin candle drift ember fallow garnet hollow ivory jasper kettle lantern meadow nectar orchard pepper quarry ribbon saddle timber umbel velvet willow yarrow zephyr".split()
 
@@ -64,10 +64,10 @@ def test_against_brute_force(spark):
 def test_long_texts_are_read_whole(monkeypatch):
     r = random.Random(8)
     item = " ".join(_sentence(r) for _ in range(6))
-    ix = Index([(1, item)])
+    ix = index_of([(1, item)])
     texts = [" ".join(_sentence(r) for _ in range(400)) + " " + item + " " + _sentence(r), "x" * 5000, None, item]
     want = sorted(leaks.leaks(ix, texts))
-    assert want == [(0, 0), (3, 0)]
+    assert want == [(0, 1), (3, 1)]
     whole = leaks.fold(texts)
     monkeypatch.setattr(leaks, "_STEP", 700)  # the item lies across many steps
     assert sorted(leaks.leaks(ix, texts)) == want
@@ -79,10 +79,42 @@ def test_long_texts_are_read_whole(monkeypatch):
 
 def test_han_and_width():
     item = "老船夫在屋顶上买了盐和绳子。昆林在港口找到了小镜子。"
-    ix = Index([(7, item)])
-    said = lambda *t: [(a, ix.item_ids[b]) for a, b in leaks.leaks(ix, list(t))]
+    ix = index_of([(7, item)])
+    said = lambda *t: sorted(leaks.leaks(ix, list(t)))
     assert said("前文。昆林在港口，找到了小 镜子！后文", "昆林在港口又找到了小镜子", "昆林在港湾找到了小镜子", "昆林在港湾里找到了小镜子", "", None) == [(0, 7), (1, 7), (2, 7)]
-    assert leaks.leaks(Index([(1, "Go.")]), ["we go home", "no"]) == [(0, 0)]
+    assert leaks.leaks(index_of([(1, "Go.")]), ["we go home", "no"]) == [(0, 1)]
+
+
+def test_bound_of_the_lemma():
+    """Every held sentence of a bound keeps a band, whatever word is edited."""
+    r = random.Random(3)
+    for _ in range(60):
+        words = [r.choice(WORDS) for _ in range(r.randint(4, 12))]
+        ix = index_of([(1, " ".join(words).capitalize() + ".")])
+        k = r.randrange(len(words))
+        for w in (words[:k] + [r.choice(["x", "extraordinarily" * r.randint(1, 6)])] + words[k + 1 :], words[:k] + ["y" * r.randint(1, 90)] + words[k:]):
+            if w[0] != words[0] and len(w) > len(words):
+                continue
+            text = "Zz. " + " ".join(w) + " zz."
+            codes, starts, off = leaks.fold([text])
+            if len(ix.weak) == 0:
+                assert len(bands(ix, codes, starts, off)[0]) > 0, (words, w)
+            assert leaks.leaks(ix, [text]) == [(0, 1)], (words, w)
+
+
+def test_short_sentences_and_two_words():
+    ix = index_of([(1, "I go. He ran home at last through the orchard gate. Oh."), (2, "No."), (3, "He left.")])
+    assert sorted(leaks.leaks(ix, ["Well, I go now. Oh. He sat.", "No, he left", "we left", "he came", ""])) == [(0, 1), (0, 3), (1, 2), (1, 3), (2, 3), (3, 3)]
+
+
+def test_many_items_in_blocks(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(_sentence(r) for _ in range(4))) for i in range(20_000)]
+    docs = [(d, _sentence(r) + " " + items[d * 90][1] + " " + _sentence(r)) for d in range(200)] + [(900, "nothing"), (901, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame(items, "item_id bigint, text string").repartition(4)
+    got = {(x.doc_id, x.item_id) for x in leaked_items(df, it, 1_500_000).collect()}
+    assert got == {(d, d * 90) for d in range(200)}
 
 
 SAMPLE = {

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm.lines import line_key, pack, repeated_lines, unite, unpack, without_lines
+from lectern.llm.lines import line_bitmaps, line_key, pack, repeated_lines, site_lines, unite, unpack, without_lines
 from lectern.llm.look import consistent_form, consistent_texts, look_prints, resolved_set, same_looking_pairs
 from lectern.llm.pieces import cores, cut_texts, pieces, trimmed
 
@@ -60,13 +60,24 @@ def test_pairs(spark):
 
 def test_containers():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 4095, 4096, 50_000):
-        ids = np.sort(rng.choice(1 << 16, n, replace=False))
+    for n in (0, 1, 255, 256, 4000, 4096):
+        ids = np.sort(rng.choice(1 << 12, n, replace=False))
         assert (unpack(pack(ids)) == ids).all()
-    a, b = np.arange(0, 9000, 2), np.arange(0, 9000, 3)
+    a, b = np.arange(0, 4000, 2), np.arange(0, 4000, 3)
     assert (unpack(unite([pack(a), pack(b), pack(b)])) == np.union1d(a, b)).all()
 
 
+def test_variants_are_united_before_they_are_counted(spark):
+    """Three variants of one line in three documents each, of which two overlap."""
+    docs = [(i, 1, t) for i, t in [(1, "Share us"), (2, "Share us"), (3, "SHARE US"), (3, "SHARE US"), (4, "share 5 us"), (5, "Share us\nshare us"), (9000, "sharе us"), (6, "other")]]
+    df = spark.createDataFrame(docs, "doc_id bigint, book_id bigint, text string").repartition(3)
+    bk = spark.createDataFrame([(1, "s", "T"), (1, "s", "T")], "book_id bigint, site string, title string")
+    bits = line_bitmaps(site_lines(df, bk), 2).collect()
+    assert sorted((r.hi, r.n, unpack(r.bits).tolist()) for r in bits) == [(0, 5, [1, 2, 3, 4, 5]), (2, 1, [9000 - (2 << 12)])]
+    assert {(r.doc_id, r.line_no) for r in repeated_lines(df, bk, 6, 0.0).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (5, 2), (9000, 1)}
+    assert repeated_lines(df, bk, 7, 0.0).count() == 0
+
+
 def test_line_keys():
     assert line_key("Share with 12 friends") == line_key("  SHARE  with 345 Ｆriends ")
     assert line_key("* * *") is None and line_key("") is None and line_key(None) is None
