@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.arrowio import cut, map_texts, spread, str_col
-from lectern.llm.look import consistent_form
+from lectern.llm.look import COMMON, Looks, consistent_form, looks_of
 
 MIN_DOCS = 5
 MIN_SHARE = 0.05
@@ -48,12 +48,12 @@ _DROP = re.compile(r"[\d\s]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def line_key(line: str | None) -> bytes | None:
+def line_key(line: str | None, looks: Looks = COMMON) -> bytes | None:
     """128-bit key equal for lines that look the same but for letter case,
     figures and white space; None for lines without a letter."""
     if not line or not _LETTER.search(line):
         return None
-    form = _DROP.sub("", (line if line.isascii() else consistent_form(line)).casefold())
+    form = _DROP.sub("", (line if line.isascii() else consistent_form(line, looks)).casefold())
     return xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass")) if form else None
 
 
@@ -88,7 +88,7 @@ def unite(parts: list[bytes]) -> bytes:
 _LINE = np.dtype([("no", "<i4"), ("key", "V16"), ("variant", "<i8")])
 
 
-def _lined(b: pa.RecordBatch) -> dict[str, list]:
+def _lined(b: pa.RecordBatch, looks: Looks) -> dict[str, list]:
     """One slim row a document; its lines packed into one value."""
     seen: dict[str, tuple[bytes, int] | None] = {}
     out: dict[str, list] = {"doc_id": [], "book_id": [], "lines": []}
@@ -98,7 +98,7 @@ def _lined(b: pa.RecordBatch) -> dict[str, list]:
         rows = []
         for n, line in enumerate(lines_of(text or ""), 1):
             if line not in seen:
-                k = line_key(line)
+                k = line_key(line, looks)
                 seen[line] = None if k is None else (k, xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63))
             if (found := seen[line]) is not None:
                 rows.append((n, *found))
@@ -115,10 +115,11 @@ def site_lines(docs: DataFrame, books: DataFrame) -> DataFrame:
     slim rows of documents are joined with the books, never the texts.
     """
     rows = spread(docs.select("doc_id", "book_id", "text"))
-    lines = map_texts(rows, _lined, "doc_id bigint, book_id bigint, lines binary", ["text"])
+    looks = looks_of(docs.sparkSession)
+    lines = map_texts(rows, lambda b: _lined(b, looks), "doc_id bigint, book_id bigint, lines binary", ["text"])
     own = map_texts(
         books.select(F.col("book_id").cast("bigint").alias("book_id"), "site", "title"),
-        lambda b: {"book_id": str_col(b, "book_id"), "site": str_col(b, "site"), "title_key": [line_key(t) for t in str_col(b, "title")]},
+        lambda b: {"book_id": str_col(b, "book_id"), "site": str_col(b, "site"), "title_key": [line_key(t, looks) for t in str_col(b, "title")]},
         "book_id bigint, site string, title_key binary",
         ["title"],
     )

@@ -12,13 +12,25 @@ from lectern.llm.arrowio import map_texts, read, spread, str_col
 
 
 # --- 1: texts that look the same ----------------------------------------------
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.look import look_prints, same_looking_pairs
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.look import look_prints
 
     chapters = look_prints(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text"), "chapter_id", "text")
     books = look_prints(read(spark, sf_dir, "parsed_books", "book_id", "full_text"), "book_id", "full_text")
-    both = chapters.withColumn("item_kind", F.lit("chapter")).unionByName(books.withColumn("item_kind", F.lit("book")))
-    return same_looking_pairs(both).select("item_kind", "left_id", "right_id").distinct()
+    return chapters.withColumn("item_kind", F.lit("chapter")).unionByName(books.withColumn("item_kind", F.lit("book")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.look import same_looking_pairs
+
+    return same_looking_pairs(_prints(spark, sf_dir)).select("item_kind", "left_id", "right_id").distinct()
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an item with its class: what p1_found lists as pairs."""
+    from lectern.llm.look import look_classes
+
+    return look_classes(_prints(spark, sf_dir))
 
 
 def p1_consistent_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,9 +153,14 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.packing import packing_report
+    """How full and how even the containers are, with the smallest documents put in
+    the tightest rooms (as in p7_packed) and with the cost alone."""
+    from lectern.llm.arrowio import cut
+    from lectern.llm.packing import TIGHT_BELOW, pack, packing_report, token_counts
 
-    return packing_report(p7_packed(spark, sf_dir))
+    counts = cut(token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER))
+    rows = [packing_report(pack(counts, tight_below=n)).withColumn("tight_below", F.lit(n)) for n in (TIGHT_BELOW, 0)]
+    return rows[0].unionByName(rows[1])
 
 
 # --- 8: evaluation texts in the corpus ---------------------------------------------

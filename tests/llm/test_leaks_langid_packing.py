@@ -172,10 +172,32 @@ def test_assign():
         for n, k in zip(sizes, where):
             load[k] = load.get(k, 0) + n
         assert all(v <= 2048 for v in load.values())
+        alone: dict[int, int] = {}
+        for n, k in zip(sizes, packing.assign(sizes, tight_below=0)):
+            alone[k] = alone.get(k, 0) + n
+        assert all(v <= 2048 for v in alone.values()) and len(load) <= len(alone) <= 1.05 * len(load) + 1
         if len(sizes) == 3000:
             assert len(load) <= 1.01 * -(-sum(sizes) // 2048)
 
 
+def test_cost_alone_decides_the_sequence():
+    """Each item goes to the cheapest sequence that has room, the first of equal ones."""
+    r = random.Random(6)
+    sizes = sorted((r.randint(1, 900) for _ in range(400)), reverse=True)
+    got = packing.assign(sizes, tight_below=0)
+    opened = -(-sum(sizes) // 2048)
+    room, spent = [2048] * opened, [0.0] * opened
+    for n, k in zip(sizes, got):
+        fits = [j for j in range(len(room)) if room[j] >= n]
+        if not fits:
+            room.append(2048)
+            spent.append(0.0)
+            fits = [len(room) - 1]
+        assert spent[k] <= min(spent[j] for j in fits) + 1e-9
+        room[k] -= n
+        spent[k] += packing.cost(n)
+
+
 def test_pack(spark):
     rows = [(i, 1 + (i * 37) % 900) for i in range(1000)] + [(5000, 5000), (5001, 4096), (5002, 0), (5003, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm.lines import line_bitmaps, line_key, pack, repeated_lines, site_lines, unite, unpack, without_lines
-from lectern.llm.look import consistent_form, consistent_texts, look_prints, resolved_set, same_looking_pairs
+from lectern.llm.look import consistent_form, consistent_texts, look_classes, look_prints, looks_of, resolved_set, same_looking_pairs
 from lectern.llm.pieces import cores, cut_texts, pieces, trimmed
 
 
@@ -48,6 +48,29 @@ def test_forms_are_stable_and_keep_scripts():
     assert not resolved_set("pаper") and resolved_set("paper") == {"Latin"} and "Jpan" in resolved_set("日本の")
 
 
+def test_unicode_confusables(spark):
+    """Letters of ICU's data, beyond the fixed table, and stable forms."""
+    looks = looks_of(spark)
+    assert len(looks.alike) > 150
+    for a, b in [("\u0251pple", "apple"), ("\ua4d0ook", "Book"), ("b\u2c9fok", "book"), ("t\u0433ee", "tree"), ("\ua4f3pen", "Open"), ("l\u0561st", "lwst"), ("\u13d4ay", "Way")]:
+        assert consistent_form(a, looks) == consistent_form(b, looks) == b, a
+    for t in ["Привет, мир! Гора и город", "город", "Быстрая река", "\u03bb\u03cc\u03b3\u03bf\u03c2 \u03c3\u03bf\u03c6\u03af\u03b1", "Straße", "ısı", "日本語 テキスト", "हिन्दी"]:
+        assert consistent_form(t, looks) == t, t
+        assert consistent_form(t) == t
+    assert consistent_form("Г\u006fра, \u0059тро и го\u0433од", looks) == "Гора, Утро и гогод" == consistent_form("Гора, Утро и го\u0072од", looks)
+
+
+def test_classes_and_split_groups(spark):
+    rows = [(i, "paper" if i % 2 else "pаper") for i in range(60)] + [(100, "x"), (101, "x"), (102, None)]
+    prints = look_prints(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").withColumn("k", F.lit("x"))
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if (a + b) % 2}
+    for split in (7, 2000):
+        got = [(r.left_id, r.right_id) for r in same_looking_pairs(prints, "k", split).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert sorted((r.item_id, r.class_id, r.members) for r in look_classes(prints, "k").collect()) == [(i, 0, 60) for i in range(60)]
+    assert look_classes(prints.limit(0), "k").count() == 0
+
+
 def test_pairs(spark):
     rows = [(1, "paper"), (2, "pаper"), (3, "paper"), (3, "paper"), (4, None), (5, ""), (6, "​"), (7, "other"), (None, "paper")]
     df = spark.createDataFrame(rows, "id bigint, t string").withColumn("look", F.lit(1)).withColumn("raw", F.lit(2))
