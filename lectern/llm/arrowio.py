@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.partitioning import cut, shared_dir, spread
+from lectern.operators.partitioning import cut, drop_at_exit, shared_dir, spread
 from lectern.shipping import ship
 
 #: Characters handed to a text function at a time.
@@ -64,6 +64,7 @@ def stored(df: DataFrame, *by: str) -> str:
     """Write a table to the shared folder, in parts by columns where given, and
     give its path: what tasks open themselves, piece by piece."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    drop_at_exit(df.sparkSession, path)
     w = df.write.mode("overwrite")
     (w.partitionBy(*by) if by else w).parquet(path)
     return path
@@ -79,10 +80,16 @@ def loaded(path: str, columns: list[str]) -> pa.Table:
     return dataset.dataset(where, filesystem=at, format="parquet").to_table(columns=columns)
 
 
-def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+_TEXTS = {"text", "full_text", "source_text", "result_text"}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *cols: str, deal: bool = True) -> DataFrame:
+    """A table; one with texts is dealt to all cores if it has few partitions,
+    unless a filter comes first."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    return spread(df) if deal and _TEXTS & set(cols) else df
 
 
 def str_col(b: pa.RecordBatch, name: str) -> list:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import map_texts, spread, str_col
+from lectern.llm.arrowio import map_texts, str_col
 from lectern.llm.units import unit_arrays, units_of
 
 LANGS = ("en", "zh", "fr", "de", "es", "pt", "ru", "ja", "hi")
@@ -420,7 +420,7 @@ def language_cases(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def fn(b: pa.RecordBatch) -> dict[str, list]:
         return _cases(model, str_col(b, "doc_id"), str_col(b, "text"), str_col(b, "lang"))
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     return map_texts(rows, fn, "doc_id bigint, case_kind string, lang string", ["text"]).distinct()
 
 
@@ -453,7 +453,7 @@ def language_segments(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 out["confidence"].append(round(min(1.0, sure / max(n, 1)), 4) if lang >= 0 else 0.0)
         return out
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     return map_texts(rows, fn, "doc_id bigint, start_pos int, end_pos int, lang string, confidence double", ["text"])
 
 
@@ -480,5 +480,5 @@ def document_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
             out["confidence"].append(round(weight[own] / sum(loose), 4) if sure[own] else 0.0)
         return out
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
     return map_texts(rows, fn, "doc_id bigint, lang string, confidence double", ["text"]).dropDuplicates(["doc_id"])

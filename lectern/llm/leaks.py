@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import loaded, map_texts, sliced, spread, stored, str_col
+from lectern.llm.arrowio import loaded, map_texts, sliced, stored, str_col
 from lectern.llm.look import INVISIBLE
 from lectern.llm.units import units_of
 
@@ -394,7 +394,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHA
     blocks = max(1, -(-size // block_chars))
     sentences = map_texts(rows, _divided, _SENTENCES, ["text"]).withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
     path = stored(sentences.repartition(blocks, "block"), "block")
-    table = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null"))
+    table = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

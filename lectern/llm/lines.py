@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import cut, map_texts, spread, str_col
+from lectern.llm.arrowio import cut, map_texts, str_col
 from lectern.llm.look import COMMON, Looks, consistent_form, looks_of
 
 MIN_DOCS = 5
@@ -114,7 +114,7 @@ def site_lines(docs: DataFrame, books: DataFrame) -> DataFrame:
     ``docs``: doc_id, book_id, text; ``books``: book_id, site, title.  Only the
     slim rows of documents are joined with the books, never the texts.
     """
-    rows = spread(docs.select("doc_id", "book_id", "text"))
+    rows = docs.select("doc_id", "book_id", "text")
     looks = looks_of(docs.sparkSession)
     lines = map_texts(rows, lambda b: _lined(b, looks), "doc_id bigint, book_id bigint, lines binary", ["text"])
     own = map_texts(

@@ -36,7 +36,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import cut, map_texts, spread, str_col
+from lectern.llm.arrowio import cut, map_texts, str_col
 
 #: The commonest letters of other scripts by the Latin letter they
 #: look like.
@@ -229,7 +229,7 @@ def look_prints(df: DataFrame, item_id: str, text: str) -> DataFrame:
             raw.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
         return {"item_id": ids, "look": look, "raw": raw}
 
-    rows = spread(df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text")))
+    rows = df.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
     return map_texts(rows, prints, "item_id bigint, look binary, raw binary", ["text"])
 
 

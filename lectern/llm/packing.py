@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import cut, map_texts, spread, str_col
+from lectern.llm.arrowio import cut, map_texts, str_col
 
 CAPACITY = 2048
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n * n (relative, per layer of a
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n.append(len(enc.encode_ordinary(t)))
         return {"doc_id": ids, "n_tokens": n}
 
-    rows = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_texts(rows, fn, "doc_id bigint, n_tokens bigint", ["text"]).dropDuplicates(["doc_id"])
 
 

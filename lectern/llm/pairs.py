@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import cut, map_texts, spread, str_col
+from lectern.llm.arrowio import cut, map_texts, str_col
 from lectern.llm.langid import LANGS, MIN_LETTERS, Model, fit, unit_languages
 
 DEFECTS = ("empty_answer", "refusal", "copies_source", "wrong_language", "truncated")
@@ -241,7 +241,7 @@ def pair_votes(segments: DataFrame, jobs: DataFrame, model: Model | None = None)
     )
     segments = segments.select("id", "job_id", "status", "source_text", "result_text", "error_message")
     model = model or result_model(segments, targets)
-    rows = spread(segments.where("status in ('completed', 'failed')"))
+    rows = segments.where("status in ('completed', 'failed')")
     slim = map_texts(rows, lambda b: _look(model, b), _SLIM, ["source_text", "result_text"])
     slim = cut(slim.join(targets, "job_id").dropDuplicates(["id"]))
     c = F.col

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.arrowio import map_texts, read, spread, str_col
+from lectern.llm.arrowio import map_texts, read, str_col
 
 
 # --- 1: texts that look the same ----------------------------------------------
@@ -36,7 +36,7 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_consistent_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.look import consistent_texts
 
-    df = spread(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text"))
+    df = read(spark, sf_dir, "parsed_chapters", "chapter_id", "text")
     return consistent_texts(df, "text").select("chapter_id", "consistent_text")
 
 
@@ -47,13 +47,13 @@ SEGMENT_LIMITS = {"translate": 1200, "tts": 900}
 
 
 def _sized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = spread(read(spark, sf_dir, "parsed_chapters", "chapter_id", "text")).select(
+    chapters = read(spark, sf_dir, "parsed_chapters", "chapter_id", "text").select(
         F.lit("chapter").alias("item_kind"), F.col("chapter_id").alias("item_id"), "text", F.lit(CHAPTER_LIMIT).alias("size_limit")
     )
     limit = F.create_map(*(F.lit(x) for kv in SEGMENT_LIMITS.items() for x in kv))
     jobs = read(spark, sf_dir, "jobs", "id", "kind").distinct().select(F.col("id").alias("job_id"), limit[F.col("kind")].alias("size_limit")).where("size_limit is not null")
     # A segment not above the smallest limit cannot be a case: it needs no join.
-    segments = read(spark, sf_dir, "segments", "id", "job_id", "source_text").where(F.length("source_text") > min(SEGMENT_LIMITS.values()))
+    segments = read(spark, sf_dir, "segments", "id", "job_id", "source_text", deal=False).where(F.length("source_text") > min(SEGMENT_LIMITS.values()))
     segments = segments.join(jobs, "job_id").select(F.lit("segment").alias("item_kind"), F.col("id").alias("item_id"), F.col("source_text").alias("text"), "size_limit").distinct()
     return chapters.unionByName(segments)
 
@@ -109,7 +109,7 @@ def units_table(df: DataFrame, item_id: str, text: str) -> DataFrame:
         who, start, end = unit_arrays(str_col(b, text))
         return {item_id: b.column(b.schema.get_field_index(item_id)).take(pa.array(who)), "start_pos": start, "end_pos": end}
 
-    return map_texts(spread(df.select(item_id, text).where(F.col(item_id).isNotNull())), fn, f"{item_id} bigint, start_pos int, end_pos int", [text])
+    return map_texts(df.select(item_id, text).where(F.col(item_id).isNotNull()), fn, f"{item_id} bigint, start_pos int, end_pos int", [text])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
