@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WS, strip
+from lectern.functions.text import WS, shortened, strip
 
 
 def _c(x: Column | str) -> Column:
@@ -114,6 +114,7 @@ def speech_audio(response: Column | str) -> Column:
         F.when(v.isNull(), "invalid response")
         .when(F.coalesce(data, F.lit("")) == "", "missing audio")
         .when(raw.isNull(), "invalid base64")
+        .when(F.octet_length(raw) == 0, "empty audio")
         .when(~F.coalesce(magic, F.lit(False)), "not a WAV file")
     )
     return F.struct(F.when(error.isNull(), raw).alias("audio"), error.alias("error"))
@@ -146,3 +147,59 @@ def bounded_parallel(asked: Column, most: Column) -> Column:
     """Workers to run; NULL where fewer than one were asked for."""
     top = F.greatest(F.lit(1), most)
     return F.when(asked.isNull(), top).when(asked >= 1, F.least(asked, top))
+
+
+def text_list(value: Column | str) -> Column:
+    """(items, error) of a JSON list of texts, stripped, blank ones dropped; an
+    item that is no text, or a value that is no list, is an error."""
+    v = F.try_parse_json(_c(value))
+    kinds = F.from_json(_c(value), "array<string>")
+    items = F.try_variant_get(v, "$", "array<variant>")
+    bad = F.array_position(F.transform(items, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) != "STRING"), F.lit(True))
+    kept = F.filter(F.transform(kinds, strip), lambda x: x != "")
+    error = F.when(_c(value).isNull() | (F.schema_of_variant(v) == "VOID"), None).when(items.isNull(), "must be a list of text values").when(bad > 0, F.format_string("[%d] must be text", bad - 1))
+    empty = F.array().cast("array<string>")
+    return F.struct(F.when(error.isNull(), F.coalesce(kept, empty)).alias("items"), error.alias("error"))
+
+
+def stored_tags(value: Column | str) -> Column:
+    """Tags of a JSON list, each as text, stripped, blank ones dropped; none where
+    the value is no list."""
+    items = F.try_variant_get(F.try_parse_json(_c(value)), "$", "array<variant>")
+    texts = F.transform(items, lambda x: strip(F.coalesce(x.cast("string"), F.lit("None"))))
+    return F.coalesce(F.filter(texts, lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def overridden(options: Column, key: Column | str, value: Column | str) -> Column:
+    """A copy of a map with one entry set."""
+    k = F.lit(key) if isinstance(key, str) else key
+    rest = F.map_filter(options, lambda a, _: a != k)
+    return F.map_concat(rest, F.create_map(k, F.lit(value) if isinstance(value, str) else value))
+
+
+def linear_delay(attempt: Column, step: float = 0.1) -> Column:
+    """Seconds to wait after the attempt of that number, counted from 0."""
+    return F.lit(step) * (attempt + 1)
+
+
+def attempts(retries: Column) -> Column:
+    return F.lit(1) + F.greatest(F.lit(0), retries)
+
+
+def response_summary(response: Column | str, most: int = 240) -> Column:
+    """What a response without sound held, in short, for its error message."""
+    v = F.try_parse_json(_c(response))
+    at = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    choice, message, audio = at("$.choices[0]", "variant"), at("$.choices[0].message", "variant"), at("$.choices[0].message.audio", "variant")
+    there = lambda x: x.isNotNull() & (F.coalesce(F.schema_of_variant(x), F.lit("VOID")) != "VOID")
+    short = lambda name, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{name}="), shortened(x, most)))
+    keys = lambda x: F.array_join(F.array_sort(F.map_keys(F.from_json(F.to_json(x), "map<string,string>"))), ",")
+    message_keys = keys(message)
+    told = F.concat_ws(
+        "; ",
+        short("finish_reason", at("$.choices[0].finish_reason")), short("content", at("$.choices[0].message.content")), short("refusal", at("$.choices[0].message.refusal")),
+        F.when(~there(audio), "audio=None").otherwise(F.concat(F.lit("audio_keys="), F.coalesce(F.nullif(keys(audio), F.lit("")), F.lit("empty")))),
+        F.when(message_keys != "", F.concat(F.lit("message_keys="), message_keys)),
+    )
+    none = F.concat_ws("; ", short("finish_reason", at("$.choices[0].finish_reason")), F.lit("message=missing"))
+    return F.when(~there(choice), "type=dict; choices=missing").when(~there(message), none).otherwise(told)

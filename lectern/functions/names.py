@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WS, one_spaced, strip
+from lectern.functions.text import WS_CHARS, one_spaced, strip
+
+
+# Characters that a download's name can't hold.
+UNSAFE = r'[\x00-\x1f\x7f/\\:*?"<>|]+'
 
 
 def _c(x: Column | str | int) -> Column:
@@ -30,6 +34,45 @@ def safe_extension(ext: Column) -> Column:
     return F.when(ext.rlike(r"^[A-Za-z0-9]+\z"), ext)
 
 
+def source_path(book: Column | str, name: Column | str) -> Column:
+    """The uploaded file, by its own name."""
+    return F.concat(book_dir(book), F.lit("/"), upload_name(name))
+
+
+def filtered_path(book: Column | str) -> Column:
+    return F.concat(book_dir(book), F.lit("/filtered.txt"))
+
+
+def cleaned_path(book: Column | str) -> Column:
+    return F.concat(book_dir(book), F.lit("/cleaned.txt"))
+
+
+def structured_path(book: Column | str) -> Column:
+    """Chapters stored as one JSON array."""
+    return F.concat(book_dir(book), F.lit("/structured-chapters.json"))
+
+
+def staged_path(book: Column | str, job: Column | str, index: Column | str) -> Column:
+    """A chapter of a division that isn't in force yet."""
+    j = _c(job)
+    return F.concat(book_dir(book), F.lit("/chapters/split-"), F.when(j >= 0, j.cast("string")), F.lit("/"), number(index), F.lit(".txt"))
+
+
+def segment_url(chapter: Column | str, segment: Column | str) -> Column:
+    """Where a segment's sound is downloaded."""
+    return F.concat(F.lit("/api/chapters/"), _c(chapter).cast("string"), F.lit("/audio/segments/"), _c(segment).cast("string"), F.lit("/download"))
+
+
+def speech_source(asked: Column, translation: Column | str) -> Column:
+    """What is spoken: the translation where asked for and there, else the chapter."""
+    return F.when((asked == "translation") & _c(translation).isNotNull(), "translation").otherwise("chapter")
+
+
+def text_source(translation: Column | str, text: Column | str) -> Column:
+    """Path of the text to work on: the translation's unless NULL or empty."""
+    return F.coalesce(F.nullif(_c(translation), F.lit("")), _c(text))
+
+
 def chapter_path(book: Column | str, index: Column | str) -> Column:
     return F.concat(book_dir(book), F.lit("/chapters/"), number(index), F.lit(".txt"))
 
@@ -67,9 +110,9 @@ def upload_name(name: Column | str) -> Column:
 
 def download_part(value: Column | str, fallback: Column, limit: int = 120) -> Column:
     """A part of a download's name: control and reserved characters as blanks."""
-    s = one_spaced(F.regexp_replace(_c(value), r'[\x00-\x1f\x7f/\\:*?"<>|]+', " "))
+    s = one_spaced(F.regexp_replace(_c(value), UNSAFE, " "))
     s = F.when(F.coalesce(s, F.lit("")) == "", fallback).otherwise(s)
-    return F.regexp_replace(F.left(s, F.lit(limit)), rf"[{WS}]+\z", "")
+    return F.rtrim(F.left(s, F.lit(limit)), F.lit(WS_CHARS))
 
 
 def download_name(book: Column | str, chapter: Column | str, index: Column | str, ext: str = "wav") -> Column:

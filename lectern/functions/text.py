@@ -22,6 +22,7 @@ def _members(ranges: tuple[tuple[int, int], ...]) -> str:
 
 #: Inside of a character class, for Java and RE2 alike.
 WS = _members(WS_RANGES)
+WS_CHARS = "".join(chr(c) for a, b in WS_RANGES for c in range(a, b + 1))
 #: Line ends but CR, which may be the first half of one.
 _BREAKS = _members(((0xA, 0xC), (0x1C, 0x1E), (0x85, 0x85), (0x2028, 0x2029)))
 
@@ -37,8 +38,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Without outer white space."""
-    return F.regexp_replace(F.regexp_replace(_col(c), rf"^[{WS}]+", ""), rf"[{WS}]+\z", "")
+    """Without outer white space; only the ends are looked at, however much white
+    space lies inside."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -58,7 +60,7 @@ def lines_with_ends(c: Column | str) -> Column:
 
 def char_count(c: Column | str) -> Column:
     """Characters that aren't white space."""
-    return F.length(F.regexp_replace(_col(c), rf"[{WS}]+", "")).cast("bigint")
+    return F.length(F.translate(_col(c), WS_CHARS, "")).cast("bigint")
 
 
 def paragraph_count(c: Column | str) -> Column:
@@ -95,11 +97,6 @@ def prompt_parts(*parts: Column | str, sep: str = "\n\n") -> Column:
     return F.concat_ws(sep, *(blank_to_null(p) for p in parts))
 
 
-def labelled_parts(**parts: Column | str) -> Column:
-    """``label: part`` lines of the parts that aren't blank (``_`` is a blank)."""
-    return F.concat_ws("\n", *(F.concat(F.lit(k.replace("_", " ") + ": "), blank_to_null(v)) for k, v in parts.items()))
-
-
 def filled_template(template: Column | str, text: Column | str) -> Column:
     """``{source_text}`` of a template filled in; NULL where the template has
     stray braces, which makes it invalid."""

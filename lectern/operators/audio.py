@@ -66,12 +66,16 @@ def collapse_silence(
         for b in batches:
             cols = [b.column(k) for k in range(b.num_columns)]
             out = []
+            there = []
             for s, c, r in zip(b.column(i), b.column(b.schema.get_field_index(channels)).to_pylist(), b.column(b.schema.get_field_index(rate)).to_pylist()):
-                got = None
-                if s.is_valid and c and r:
-                    got = collapsed_samples(np.asarray(s.values.to_numpy(zero_copy_only=False)), c, r, ms, threshold)
-                out.append(s.as_py() if got is None else got.tolist())
-            cols[i] = pa.array(out, type=arrow.field(i).type)
+                there.append(s.is_valid)
+                own = np.asarray(s.values.to_numpy(zero_copy_only=False)) if s.is_valid else np.zeros(0, np.int16)
+                got = collapsed_samples(own, c, r, ms, threshold) if s.is_valid and c and r else None
+                out.append(own if got is None else got)
+            ends = np.cumsum([0, *(len(x) for x in out)])
+            offsets = pa.array([*ends[:-1].tolist(), int(ends[-1])], pa.int32(), mask=np.append(~np.asarray(there, dtype=bool), False))
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int16)).cast(arrow.field(i).type.value_type)
+            cols[i] = pa.ListArray.from_arrays(offsets, flat)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
@@ -84,3 +88,12 @@ def merged(df: DataFrame, keys: list[str], order: str, samples: str = "samples")
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(samples).alias("s"))))
     got = df.groupBy(*keys).agg(F.min(params).alias("_a"), F.max(params).alias("_b"), F.flatten(F.transform(parts, lambda p: p.s)).alias(samples), F.count("*").alias("parts"))
     return got.where(F.col("_a") == F.col("_b")).select(*keys, "_a.*", samples, "parts")
+
+
+def merged_audio(df: DataFrame, keys: list[str], order: str, ms: int = MAX_SILENCE_MS, threshold: int = SILENT) -> DataFrame:
+    """Sound of each key's parts in order, long silences of each part collapsed
+    first; keys whose parts differ in channels, width or rate give no sound.
+
+    A merged sound is one value, so a key's parts have to fit a task: the bound is
+    the length of one sound, not the number of rows of the table."""
+    return merged(collapse_silence(df, ms=ms, threshold=threshold), keys, order)

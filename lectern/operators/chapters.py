@@ -6,6 +6,8 @@ exploded only where rows are wanted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,18 @@ def chapters_json(chapters: Column) -> Column:
     return F.to_json(F.filter(chapters, lambda x: strip(x.text) != ""))
 
 
+def chapters_to_divide(stored: Column, source: Column, text: Column, size: int = 6000) -> Column:
+    """Chapters of a book in order of precedence: those stored as JSON, those of its
+    source file, each if there are two or more, else its text divided."""
+    return first_of_two(stored_chapters(stored), source, chapters_of(text, size))
+
+
+def cleaned_chapters(chapters: Column, clean: Callable[[Column], Column]) -> Column:
+    """Each chapter cleaned by itself (``clean``: text -> text), so what repeats is
+    counted within a chapter, not within the book."""
+    return F.transform(chapters, lambda c: F.struct(c.title.alias("title"), clean(c.text).alias("text")))
+
+
 def chapter_rows(df: DataFrame, chapters: str, *keep: str) -> DataFrame:
     """One row per chapter: index, title, text and its metadata.
 

@@ -105,6 +105,15 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def clean_with(*steps: str) -> Callable[[Column], Column]:
+    """Text -> text by cleaners in order."""
+
+    def run(k: int, now: Column) -> Column:
+        return now if k == len(steps) else let(CLEANERS[steps[k]](now), lambda r: run(k + 1, r["text"]))
+
+    return lambda text: let(text, lambda t: run(0, t))
+
+
 def cleaned(df: DataFrame, text: str, steps: Iterable[str], out: str = "clean_text", stats: str = "clean_stats") -> DataFrame:
     """``df`` with the text after all steps in order, and an array of
     (operation, before_chars, after_chars, removed_lines), one of each step.

@@ -24,10 +24,17 @@ def with_counts(jobs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """The row of highest ``by`` of each key, by partial aggregation: no sort
-    and no task that holds a whole group."""
-    best = F.max_by(F.struct(*df.columns), by).alias("_r")
-    return df.groupBy(*keys).agg(best).select("_r.*")
+    """The row of highest ``by`` (unique within a key) of each key: the highest
+    numbers are found by partial aggregation of slim rows, and the rows they name
+    are kept by a semi join, so wide rows are neither sorted nor aggregated."""
+    if set(df.columns) == {*keys, by}:
+        return df.groupBy(*keys).agg(F.max(by).alias(by)).select(*df.columns)
+    top = df.groupBy(*keys).agg(F.max(by).alias(by)).where(F.col(by).isNotNull())
+    top = top.select(*(F.col(c).alias(f"_top_{c}") for c in (*keys, by)))
+    same = F.lit(True)
+    for c in (*keys, by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_top_{c}"))
+    return df.join(top, same, "left_semi")
 
 
 def without_newer(jobs: DataFrame, keys: list[str], by: str = "id") -> DataFrame:
@@ -126,8 +133,10 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
         before[p], total = total, total + sizes[p]
     if not before:
         return df.withColumn(out, F.lit(None).cast("bigint"))
-    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("_p")]
-    return marked.withColumn(out, F.col("_i") + offset.cast("bigint") + 1).drop("_p", "_i")
+    # One row a partition, whatever their number.
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "_p int, _before bigint")
+    joined = marked.join(F.broadcast(offsets), "_p")
+    return joined.withColumn(out, F.col("_i") + F.col("_before") + 1).drop("_p", "_i", "_before")
 
 
 def placed(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -137,3 +146,35 @@ def placed(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     all_rows = numbered(df, [*keys, *order], "_n")
     first = all_rows.groupBy(*keys).agg(F.min("_n").alias("_first"))
     return all_rows.join(first, keys).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+
+
+def matched_rows(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """One row ``matched``: how many rows a change by key would touch."""
+    return existing.join(changes.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("matched"))
+
+
+def edited_chapters(chapters: DataFrame, edits: DataFrame, made: dict[str, str]) -> DataFrame:
+    """Chapters with the columns of ``edits`` (id, ...) set; an edited one gets the
+    next ``content_revision`` and loses the columns ``made`` (name -> type) from its
+    old text."""
+    changes = edits.join(chapters.select("id", (F.col("content_revision") + 1).alias("content_revision")), "id")
+    return upserted(chapters, changes.select("*", *(F.lit(None).cast(t).alias(c) for c, t in made.items())), "id")
+
+
+def promoted(chapters: DataFrame, jobs: DataFrame, kind: str, revision: Column, results: DataFrame) -> DataFrame:
+    """Chapters with the ``results`` (job_id, ...) of jobs of a kind that are still in
+    force: made for the chapter's present revision, and no newer job of the kind."""
+    own = jobs.withColumn("_rev", revision).where((F.col("kind") == kind) & F.col("chapter_id").isNotNull())
+    newest = latest(own.select("id", "chapter_id", "_rev"), ["chapter_id"], "id")
+    fresh = stale_rejected(newest, chapters, F.col("_rev"))
+    changes = fresh.select(F.col("id").alias("job_id"), F.col("chapter_id").alias("_id")).join(results, "job_id").drop("job_id").withColumnRenamed("_id", "id")
+    return upserted(chapters, changes, "id")
+
+
+def replaced_cascading(tables: dict[str, DataFrame], new: DataFrame, key: str, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """The first link's parent with all rows of the keys in ``new`` replaced, and
+    its children without what hung on the rows that went."""
+    parent, column = links[0][0], links[0][1]
+    gone = tables[parent].join(new.select(key).distinct(), key, "left_semi").select(column)
+    left = cascade_deleted(tables, gone, links)
+    return left | {parent: left[parent].select(*new.columns).unionByName(new)}

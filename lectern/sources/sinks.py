@@ -45,22 +45,22 @@ def archives(entries: DataFrame) -> DataFrame:
 
 
 def written_one_by_one(df: DataFrame, root: str) -> DataFrame:
-    """Write rows (path, content) as files below a shared folder, by the tasks
-    themselves; gives (path, bytes, error)."""
+    """Write rows (path, content) as files below a shared folder (any that Arrow can
+    open: file, hdfs, s3, gs), by the tasks themselves; gives (path, bytes, error).
+    A repeated task writes the same files again."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+        from pyarrow import fs
 
+        at, where = fs.FileSystem.from_uri(root) if ":" in root else (fs.LocalFileSystem(), root)
         for f in frames:
             rows = []
             for p, content in zip(f["path"], f["content"]):
-                full = os.path.join(root, p)
                 try:
-                    os.makedirs(os.path.dirname(full), exist_ok=True)
-                    part = f"{full}.part-{os.getpid()}"
-                    with open(part, "wb") as out:
+                    full = f"{where}/{p}"
+                    at.create_dir(full.rpartition("/")[0], recursive=True)
+                    with at.open_output_stream(full) as out:
                         out.write(bytes(content))
-                    os.replace(part, full)  # a repeated task writes the same file
                     rows.append((p, len(content), None))
                 except OSError as e:
                     rows.append((p, None, str(e)))

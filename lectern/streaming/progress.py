@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.partitioning import hadoop
+
 SEGMENT_EVENTS = "event_id bigint, ts timestamp, job_id bigint, segment_id bigint, status string, revision bigint, result string"
 
 
@@ -39,24 +41,58 @@ def newest_result(events: DataFrame) -> DataFrame:
     return events.where("status = 'completed'").groupBy("segment_id").agg(F.max_by(F.struct("job_id", "revision", "result"), rank).alias("r")).select("segment_id", "r.*")
 
 
-def upsert_newest(target: str, key: str = "segment_id") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` that keeps the newest row of each key in a table of one
-    directory per batch: the new version is written beside the old one, so a
-    batch that is repeated after a failure writes the same version again."""
+def _complete(spark: SparkSession, target: str, before: int) -> int | None:
+    """The newest batch before the given one whose list of parts is complete."""
+    fs, at = hadoop(spark, target)
+    if not fs.exists(at):
+        return None
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(at)]
+    done = [int(n[2:]) for n, p in names if n.startswith("m=") and int(n[2:]) < before and fs.exists(hadoop(spark, f"{p}/_SUCCESS")[1])]
+    return max(done, default=None)
+
+
+def _parts(spark: SparkSession, target: str, version: int | None) -> dict[int, int]:
+    """Bucket -> batch that wrote it last; no more entries than buckets."""
+    if version is None:
+        return {}
+    return {r.bucket: r.version for r in spark.read.parquet(f"{target}/m={version}").collect()}
+
+
+def upsert_newest(target: str, key: str = "segment_id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` that keeps the newest row of each key.
+
+    Rows are dealt to buckets by key.  A batch writes the buckets it changes, as
+    new files beside the old ones, then a list of which batch wrote each bucket
+    last; a batch that is repeated after a failure reads what the one before it
+    listed and writes the same again.  Only a target without any list is empty:
+    files that are listed and can't be read fail the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{target}/v={batch_id - 1}") if batch_id else None
-        except Exception:  # noqa: BLE001 - the first version of a resumed target
-            old = None
-        rows = batch if old is None else old.unionByName(batch)
+        parts = _parts(spark, target, _complete(spark, target, batch_id))
+        number = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r.bucket for r in batch.select(number.alias("bucket")).distinct().collect()]
+        rows = batch
+        old = [f"{target}/v={parts[b]}/bucket={b}" for b in touched if b in parts]
+        if old:
+            rows = spark.read.schema(batch.schema).parquet(*old).unionByName(batch)
         rank = F.struct("revision", "job_id")
-        rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), rank).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{target}/v={batch_id}")
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), rank).alias("r")).select("r.*")
+        newest.withColumn("bucket", number).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v={batch_id}")
+        listed = sorted((parts | dict.fromkeys(touched, batch_id)).items())
+        spark.createDataFrame(listed, "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{target}/m={batch_id}")
 
     return write
 
 
+def read_newest(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    """The table that ``upsert_newest`` keeps, after its last complete batch."""
+    parts = _parts(spark, target, _complete(spark, target, 1 << 62))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{target}/v={v}/bucket={b}" for b, v in sorted(parts.items())))
+
+
 def run_once(df: DataFrame, target: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Process all that is there, stop, and read the result back from ``target``,
     a folder all executors share.  In complete mode each batch replaces the
