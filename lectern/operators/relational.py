@@ -148,6 +148,17 @@ def placed(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFr
     return all_rows.join(first, keys).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
 
 
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    """Columns of ``df`` as the types of a schema; what doesn't fit is NULL."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    return df.select(*(F.col(n).try_cast(t).alias(n) for n, t in fields))
+
+
+def stamped(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with the time of the query in columns (created_at and updated_at)."""
+    return df.withColumns({c: F.current_timestamp() for c in columns or ("created_at", "updated_at")})
+
+
 def matched_rows(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """One row ``matched``: how many rows a change by key would touch."""
     return existing.join(changes.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("matched"))

@@ -8,12 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import jsons, names, text
+from lectern.functions import display, jsons, names, text
 from lectern.functions.providers import apply_provider
 from lectern.functions.text import WS
 from lectern.operators import audio, chapters, cleaning, relational, segments
 from lectern.operators.partitioning import shared_dir, spread
-from lectern.plans import pipeline
 from lectern.shipping import ship
 from lectern.sources import sinks
 from lectern.streaming import progress
@@ -128,18 +127,17 @@ def src_text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT book_id, coalesce(nullif("""
     + s_strip("title")
     + """, ''), '第 ' || CAST(row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS VARCHAR) || ' 章') AS title, text,
-      row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS rn FROM parsed_chapters) c WHERE """
-    + s_strip("c.text")
-    + " <> ''"
+      row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS rn FROM parsed_chapters WHERE """
+    + s_strip("text")
+    + " <> '') c"
 )
 def src_stored_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters written as a JSON array per book and read again."""
     parts = F.array_sort(F.collect_list(F.struct("chapter_index", "title", "text")))
     book = table(spark, sf_dir, "parsed_chapters", "book_id", "chapter_index", "title", "text").groupBy("book_id").agg(parts.alias("p"))
-    doc = book.select("book_id", F.to_json(F.transform("p", lambda x: F.struct(x.title.alias("title"), x.text.alias("text")))).alias("doc"))
-    rows = doc.select("book_id", F.posexplode(F.from_json("doc", "array<struct<title:string,text:string>>")).alias("i", "x"))
-    title = F.coalesce(text.blank_to_null("x.title"), F.format_string("第 %d 章", F.col("i") + 1))
-    return rows.where(text.strip("x.text") != "").select("book_id", long("i").alias("chapter_index"), title.alias("title"), F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
+    doc = book.select("book_id", chapters.chapters_json(F.transform("p", lambda x: F.struct(x.title.alias("title"), x.text.alias("text")))).alias("doc"))
+    rows = doc.select("book_id", F.posexplode_outer(chapters.stored_chapters(F.col("doc"))).alias("i", "x")).where("i is not null")
+    return rows.select("book_id", long("i").alias("chapter_index"), "x.title", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
 
 
 # --- scalar text functions -----------------------------------------------------------
@@ -587,41 +585,38 @@ def src_chapters_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("id").alias("chapter_id"), long("chapter_index").alias("chapter_index"), "title")
 
 
-@query("SELECT c.id AS chapter_id, t.book_id IS NULL AS missing, CAST(length(t.full_text) AS BIGINT) AS chars FROM chapters c LEFT JOIN parsed_books t ON t.book_id = c.book_id AND t.source_format = 'txt'")
+@query("SELECT c.id AS chapter_id, t.book_id IS NULL AS missing, CAST(length(t.full_text) AS BIGINT) AS chars FROM chapters c LEFT JOIN parsed_books t ON t.book_id = c.book_id")
 def src_text_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts looked up by key; what isn't there is told, not dropped."""
-    texts = table(spark, sf_dir, "parsed_books", "book_id", "source_format", "full_text").where("source_format = 'txt'").select("book_id", long(F.length("full_text")).alias("chars"), F.lit(1).alias("there"))
+    texts = table(spark, sf_dir, "parsed_books", "book_id", "full_text").select("book_id", long(F.length("full_text")).alias("chars"), F.lit(1).alias("there"))
     c = table(spark, sf_dir, "chapters", "id", "book_id").withColumnRenamed("id", "chapter_id")
     return c.join(texts, "book_id", "left").select("chapter_id", F.col("there").isNull().alias("missing"), "chars")
 
 
 @query(
     """SELECT id AS job_id, CAST(CASE WHEN total_units <= 0 OR completed_units <= 0 THEN 0 ELSE least(100, greatest(0, floor(100.0 * completed_units / total_units + 0.5))) END AS BIGINT) AS percent,
-coalesce(map {'pending': 'waiting', 'running': 'at work', 'completed': 'done', 'failed': 'failed', 'stopped': 'stopped'}[status], nullif(status, ''), 'unknown') AS label FROM (SELECT DISTINCT id, total_units, completed_units, status FROM jobs)"""
+coalesce(map {'pending': '等待中', 'running': '运行中', 'paused': '已暂停', 'completed': '已完成', 'completed_with_errors': '部分完成', 'failed': '失败', 'stopped': '已停止'}[status], nullif(status, ''), '未知') AS label FROM (SELECT DISTINCT id, total_units, completed_units, status FROM jobs)"""
 )
 def prj_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "jobs", "id", "total_units", "completed_units", "status", once=True)
-    share = F.least(F.lit(100), F.greatest(F.lit(0), F.floor(100.0 * F.col("completed_units") / F.nullif(F.col("total_units"), F.lit(0)) + 0.5)))
-    percent = F.when((F.col("total_units") <= 0) | (F.col("completed_units") <= 0), 0).otherwise(share)
-    labels = F.create_map(*(F.lit(x) for kv in {"pending": "waiting", "running": "at work", "completed": "done", "failed": "failed", "stopped": "stopped"}.items() for x in kv))
-    return df.select(F.col("id").alias("job_id"), long(percent).alias("percent"), F.coalesce(labels[F.col("status")], F.nullif(F.col("status"), F.lit("")), F.lit("unknown")).alias("label"))
+    percent = display.progress_percent(F.col("completed_units"), F.col("total_units"))
+    return df.select(F.col("id").alias("job_id"), percent.alias("percent"), display.status_label(F.col("status")).alias("label"))
 
 
 @query("SELECT id AS chapter_id, format('{:,}', CAST(greatest(0, floor(char_count / 2.0 + 0.5)) AS BIGINT)) AS words FROM chapters")
 def prj_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.greatest(F.lit(0), F.floor(F.col("char_count") / 2.0 + 0.5))
-    return table(spark, sf_dir, "chapters", "id", "char_count").select(F.col("id").alias("chapter_id"), F.format_number(words, 0).alias("words"))
+    return table(spark, sf_dir, "chapters", "id", "char_count").select(F.col("id").alias("chapter_id"), display.word_count_label(F.col("char_count")).alias("words"))
 
 
 @query(
-    """SELECT id AS chapter_id, CASE WHEN translation_path IS NOT NULL THEN 'translation' ELSE 'chapter' END AS source, coalesce(nullif(translation_path, ''), text_path) AS path,
-'/api/chapters/' || CAST(id AS VARCHAR) || '/text' AS url FROM chapters"""
+    """SELECT id AS chapter_id, CASE WHEN translation_path IS NOT NULL THEN 'translation' ELSE 'chapter' END AS source, CASE WHEN id % 2 = 0 AND translation_path IS NOT NULL THEN 'translation' ELSE 'chapter' END AS asked,
+coalesce(nullif(translation_path, ''), text_path) AS path FROM chapters"""
 )
 def prj_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "chapters", "id", "translation_path", "text_path")
     return df.select(
-        F.col("id").alias("chapter_id"), F.when(F.col("translation_path").isNotNull(), "translation").otherwise("chapter").alias("source"),
-        F.coalesce(F.nullif(F.col("translation_path"), F.lit("")), F.col("text_path")).alias("path"), F.concat(F.lit("/api/chapters/"), F.col("id").cast("string"), F.lit("/text")).alias("url"),
+        F.col("id").alias("chapter_id"), names.speech_source(F.lit("translation"), "translation_path").alias("source"),
+        names.speech_source(F.when(F.col("id") % 2 == 0, "translation").otherwise("chapter"), "translation_path").alias("asked"), names.text_source("translation_path", "text_path").alias("path"),
     )
 
 
@@ -721,17 +716,18 @@ def snk_assigned_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r(k, a) AS (SELECT id % 6, {s_strip('title')} FROM chapters), b AS (SELECT id AS chapter_id, id % 6 AS k, title AS t FROM chapters)
-SELECT chapter_id, CASE k WHEN 0 THEN 'x,y' WHEN 1 THEN 'x,y' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN 'x,y' ELSE '' END AS tags, CASE WHEN k IN (0, 4) THEN {s_strip('t')} END AS title FROM b"""
+    f"""WITH t AS (SELECT id, title, list_transform(tags, lambda x: left(regexp_replace(regexp_replace(regexp_replace({s_strip('x')}, '^[#＃]+', ''), '[#＃]+$', ''), '[{WS}]+', '', 'g'), 16)) AS ts FROM chapters),
+d AS (SELECT id, title, array_to_string(list_filter(ts, lambda x, i: x <> '' AND list_position(ts, x) = i)[1:10], ',') AS tags FROM t)
+SELECT id AS chapter_id, CASE id % 6 WHEN 3 THEN NULL WHEN 5 THEN '' ELSE tags END AS tags, CASE WHEN id % 6 IN (0, 4) THEN nullif({s_strip('title')}, '') END AS title FROM d"""
 )
 def jsn_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of six shapes: fenced JSON, a bare array, a list of words, NULL,
     JSON within prose, JSON of another kind."""
-    df = table(spark, sf_dir, "chapters", "id", "title")
-    doc = F.to_json(F.struct(F.array(F.lit("#x"), F.lit(" y"), F.lit("x")).alias("tags"), F.col("title")))
+    df = table(spark, sf_dir, "chapters", "id", "title", "tags")
+    doc = F.to_json(F.struct("tags", "title"))
     k = F.col("id") % 6
     answer = (
-        F.when(k == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).when(k == 1, F.lit('["x", "y", "x"]')).when(k == 2, F.lit("x，x、 x"))
+        F.when(k == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).when(k == 1, F.to_json("tags")).when(k == 2, F.array_join("tags", "，"))
         .when(k == 4, F.concat(F.lit("Here it is: "), doc, F.lit(" Enjoy."))).when(k == 5, F.lit("17"))
     )
     return df.withColumn("a", answer).select(F.col("id").alias("chapter_id"), F.array_join(jsons.answer_tags("a"), ",").alias("tags"), jsons.answer_field("a", "title").alias("title"))
@@ -757,16 +753,3 @@ def stm_windowed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
     done = progress.run_once(progress.windowed_progress(ev, "1 day", late=None), f"{at}/out", f"{at}/state")
     return done.select("window_start", "job_id", "events", "completed", "failed")
-
-
-@query()
-def plan_books_to_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean, cut into chapters, measure: the whole text path of a book."""
-    df = pipeline.books_to_chapters(table(spark, sf_dir, "parsed_books", "book_id", "full_text"))
-    return df.select("book_id", "chapter_index", "title", "char_count", "paragraph_count")
-
-
-@query()
-def plan_translate_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pipeline.translated(table(spark, sf_dir, "parsed_chapters", "chapter_id", "text"), "chapter_id", "text", "fake")
-    return df.select("chapter_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
