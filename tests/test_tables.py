@@ -1,12 +1,14 @@
 import io
+import shutil
+import time
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions.providers import apply_provider
-from lectern.operators import audio, relational, segments
+from lectern.functions.providers import Fatal, apply_provider, doubling, linear
+from lectern.operators import audio, partitioning, relational, segments
 from lectern.plans import pipeline
 from lectern.sources import files, sinks
 from lectern.streaming import progress
@@ -15,8 +17,8 @@ from lectern.streaming import progress
 @pytest.mark.parametrize(
     ("t", "n", "want"),
     [
-        ("aa\n\nbb", 1, ["a", "a", "\n", "\n", "b", "b"]), ("第一行\n第二行\n第三行", 6, ["第一行\n", "第二行\n", "第三行"]),
-        ("abcdefghij", 4, ["abcd", "efgh", "ij"]), ("", 3, []), ("  ", 3, []), ("a\r\nb", 9, ["a\nb"]), (None, 3, []),
+        ("fog\n\nbow", 2, ["fo", "g\n", "\n", "bo", "w"]), ("雾来\n船去\n灯灭", 4, ["雾来\n", "船去\n", "灯灭"]), ("fog\n\nbow\n\nsea", 6, ["fog\n\n", "bow\n\n", "sea"]),
+        ("mooring", 3, ["moo", "rin", "g"]), ("", 5, []), (" \t", 5, []), ("x\r\ny\rz", 9, ["x\ny\nz"]), (None, 5, []),
     ],
 )
 def test_bounded_pieces(t, n, want):
@@ -24,19 +26,21 @@ def test_bounded_pieces(t, n, want):
 
 
 def test_bounded_pieces_lossless():
-    t = "第一段。" * 10 + "\n\n" + "第二段。" * 10
-    got = segments.bounded_pieces(t, 40)
-    assert "".join(got) == t and max(map(len, got)) <= 40 and len(got) >= 2
+    t = "船过了桥。" * 9 + "\n\n" + "灯还亮着。" * 9
+    got = segments.bounded_pieces(t, 33)
+    assert "".join(got) == t and max(map(len, got)) <= 33 and len(got) >= 3
     with pytest.raises(ValueError):
         segments.bounded_pieces(t, 0)
 
 
 def test_segment_rows_and_translation(spark):
-    df = spark.createDataFrame([(1, "段落一。\n\n段落二。"), (2, None), (3, "")], "k bigint, t string")
-    rows = segments.segment_rows(df, "k", "t", 6, trim=True).orderBy("segment_index").collect()
-    assert [(r.k, r.segment_text) for r in rows] == [(1, "段落一。"), (1, "段落二。")]
-    got = pipeline.translated(df, "k", "t", "fake", 6).collect()
-    assert [(r.k, r.text) for r in got] == [(1, "译文：段落一。\n\n译文：段落二。")]
+    df = spark.createDataFrame([(1, "船来。\n\n灯灭。"), (2, None), (3, "")], "k bigint, t string")
+    rows = segments.segment_rows(df, "k", "t", 5, trim=True).orderBy("segment_index").collect()
+    assert [(r.k, r.segment_text) for r in rows] == [(1, "船来。"), (1, "灯灭。")]
+    got = pipeline.translated(df, "k", "t", "fake", 5).collect()
+    assert [(r.k, r.text) for r in got] == [(1, "译文：船来。\n\n译文：灯灭。")]
+    jobs = pipeline.segment_jobs(df, "k", "t", 5)[1].orderBy("k").collect()
+    assert [(r.total_units, r.status, r.error_message) for r in jobs] == [(2, "pending", None), (0, "failed", "chapter has no translatable text"), (0, "failed", "chapter has no translatable text")]
 
 
 def test_provider_errors_stay_in_their_rows(spark):
@@ -45,11 +49,28 @@ def test_provider_errors_stay_in_their_rows(spark):
             raise ValueError("no such text")
         return [p.upper() for p in prompts]
 
-    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "k bigint, p string")
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "k bigint, p string").coalesce(1)
     got = {r.k: (r.status, r.result, r.error) for r in apply_provider(df, "k", "p", call, retries=1, wait=0.0).collect()}
     assert got == {1: ("completed", "A", None), 2: ("failed", None, "no such text"), 3: ("completed", "C", None)}
 
 
+def test_providers_that_give_too_little_or_fail_for_good(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k bigint, p string").coalesce(1)
+    short = lambda prompts: ["x"] * min(1, len(prompts)) if prompts != [""] else []
+    got = {r.k: (r.status, r.error) for r in apply_provider(df, "k", "p", short, retries=0).collect()}
+    assert got == {1: ("completed", None), 2: ("completed", None), 3: ("failed", "the provider gave no single result")}
+
+    def final(prompts):
+        raise Fatal("not again")
+
+    started = time.perf_counter()
+    rows = apply_provider(df, "k", "p", final, retries=5, wait=linear(30.0)).collect()
+    assert {r.error for r in rows} == {"not again"} and time.perf_counter() - started < 20
+    assert [linear()(k) for k in (0, 1)] == pytest.approx([0.1, 0.2]) and [doubling()(k) for k in (0, 3, 9)] == [1.0, 8.0, 30.0]
+    sound = apply_provider(df, "k", "p", "fake speech", result="binary").first()
+    assert files.decode_wav(bytes(sound.result))[:4] == (1, 2, 8000, 8)
+
+
 def _jobs(spark):
     return spark.createDataFrame([(1, 7, "tts"), (2, 7, "tts"), (3, 8, "tts"), (4, None, "split"), (5, None, "split")], "id bigint, chapter_id bigint, kind string")
 
@@ -148,4 +169,68 @@ def test_streams(spark, tmp_path):
     write = progress.upsert_newest(str(tmp_path / "t"))
     write(df.where("revision = 2").select("segment_id", "job_id", "revision", "result"), 0)
     write(df.where("revision = 1 and status = 'completed'").select("segment_id", "job_id", "revision", "result"), 1)
-    assert [r.result for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()] == ["new"]
+    read = lambda: sorted((r.segment_id, r.result) for r in progress.read_newest(spark, str(tmp_path / "t"), "segment_id bigint, job_id bigint, revision bigint, result string").collect())
+    assert read() == [(1, "new")]
+    more = spark.createDataFrame([(k, 9, 3, f"r{k}") for k in range(2, 40)], "segment_id bigint, job_id bigint, revision bigint, result string")
+    for _ in range(2):  # a repeated batch writes the same again
+        write(more, 2)
+    assert read() == [(1, "new"), *((k, f"r{k}") for k in range(2, 40))]
+    written = len(list((tmp_path / "t/v=1").glob("bucket=*")))
+    assert written == 1  # only what the batch changed
+    assert progress.read_newest(spark, str(tmp_path / "none"), "segment_id bigint").count() == 0
+
+
+def test_a_lost_version_fails_the_batch(spark, tmp_path):
+    """What is listed and can't be read is an error, not an empty table."""
+    write = progress.upsert_newest(str(tmp_path / "t"))
+    row = spark.createDataFrame([(1, 1, 1, "a")], "segment_id bigint, job_id bigint, revision bigint, result string")
+    write(row, 0)
+    for f in (tmp_path / "t/v=0").rglob("*.parquet"):
+        f.unlink()
+    shutil.rmtree(tmp_path / "t/v=0")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        write(row, 1)
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema = "event_id bigint, ts timestamp, job_id bigint, segment_id bigint, status string, revision bigint, result string"
+    part = lambda n: spark.createDataFrame([(n, n, n, "completed", 1, f"r{n}")], "event_id bigint, job_id bigint, segment_id bigint, status string, revision bigint, result string").withColumn("ts", F.lit("2025-01-01").cast("timestamp")).select(*(c.split()[0] for c in schema.split(", ")))
+    run = lambda: {r.job_id: r.events for r in progress.run_once(progress.windowed_progress(progress.read_events(spark, str(tmp_path / "ev")), late=None), str(tmp_path / "o"), str(tmp_path / "c")).collect()}
+    part(1).write.parquet(str(tmp_path / "ev"))
+    assert run() == {1: 1}
+    assert run() == {1: 1}  # nothing new, nothing counted twice
+    part(2).write.mode("append").parquet(str(tmp_path / "ev"))
+    assert run() == {1: 1, 2: 1}
+
+
+def test_the_local_folder_is_for_local_sessions(spark, monkeypatch):
+    class Fake:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})()
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": lambda self: Fake.conf})()  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        partitioning.shared_dir(Fake())
+
+
+def test_latest_keeps_wide_rows_whole(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, 7, "c"), (4, 7, "d")], "id bigint, k bigint, v string")
+    assert sorted((r.id, r.v) for r in relational.latest(df, ["k"], "id").collect()) == [(2, "b"), (4, "d")]
+    assert sorted(tuple(r) for r in relational.latest(df.select("k", "id"), ["k"], "id").collect() if r.k) == [(7, 4)]
+    assert relational.latest(df.limit(0), ["k"], "id").count() == 0
+
+
+def test_files_limit_and_pages(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"12345")
+    (tmp_path / "b.txt").write_bytes(b"123456")
+    got = {r.title: r.error for r in files.read_text_books(spark, str(tmp_path), most=5).collect()}
+    assert got == {"a": None, "b": "file too large"}
+    df = spark.createDataFrame([(1, "<h1> Fog <b>bow</b></h1><title>no</title><p>a &lt; b<br>c"), (2, None), (3, "<style>x</style>")], "k int, html string")
+    assert [(r.page_text, r.page_title) for r in files.pages_text(df).orderBy("k").collect()] == [("Fog\nbow\nno\na < b\nc", "Fog bow"), (None, None), ("", None)]
+
+
+def test_merged_audio_refuses_mixed_parts(spark):
+    rows = [(1, 0, [5000, 0, 0, 0], 1000), (1, 1, [6000], 1000), (2, 0, [1], 1000), (2, 1, [1], 999), (3, 0, None, 1000), (3, 1, [7], 1000)]
+    df = spark.createDataFrame(rows, "k int, i int, samples array<smallint>, sample_rate int").withColumn("channels", F.lit(1)).withColumn("sample_width", F.lit(2))
+    got = {r.k: r.samples for r in audio.merged_audio(df, ["k"], "i", ms=2, threshold=10).collect()}
+    assert got == {1: [5000, 0, 0, 6000], 3: None}  # a part that cannot be read: no sound
+    assert audio.merged_audio(df.limit(0), ["k"], "i").count() == 0
