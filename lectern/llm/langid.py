@@ -246,9 +246,11 @@ def _clustered(own: np.ndarray, m: int, starts: int = STARTS) -> np.ndarray:
     return np.stack([_unit(own[best == j].sum(0)) for j in range(m) if size[j] >= max(2, len(own) // (8 * m))])
 
 
-def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
+def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, lead: float | None = None) -> Model:
     """Fit centroids on (label, text) rows; the labels may be wrong in part and
-    the texts mixed.  Every fifth row measures the leads only."""
+    the texts mixed.  Every fifth row measures the leads only; with ``lead`` none
+    does, and all pairs of languages have that one (for rows put together of
+    parts that may each have a wrong label)."""
     rows = [*SEEDS.items(), *(r for r in rows if r[1] and r[1].strip())]
     texts = [t for _, t in rows]
     y = np.asarray([LANGS.index(c) for c, _ in rows])
@@ -297,17 +299,20 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
             langs += [k] * len(c)
         return Model(idf, np.ascontiguousarray(np.stack(cents).T), np.asarray(langs))
 
+    if lead is not None:
+        whole = clustered(keep)
+        return Model(idf, whole.weights, whole.langs, np.full((len(LANGS), len(LANGS)), lead))
     # What rivals reach in held-out documents that are otherwise of one language.
     trial = clustered(keep & ~held)
     cos = _cosines(trial, key, part, len(parts))
-    lang, top, lead, best, rival = trial.decided(cos, size, signs)
+    lang, _, led, *_ = trial.decided(cos, size, signs)
     share = judged(trial)[1]
     pure = held[who] & (share[who] > 1 - FOREIGN) & _sentences(parts)
     leads = np.full((len(LANGS), len(LANGS)), MIN_LEAD)
     for a in range(len(LANGS)):
         for b in range(len(LANGS)):
             own = pure & (y[who] == b)
-            wrong = np.sort(lead[own & (lang == a)])[::-1] if a != b else []
+            wrong = np.sort(led[own & (lang == a)])[::-1] if a != b else []
             most = int(MISTAKES * own.sum())
             if len(wrong) > most:
                 leads[a, b] = min(MOST_LEAD, max(MIN_LEAD, float(wrong[most]) + 0.005))

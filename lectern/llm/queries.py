@@ -90,14 +90,17 @@ def p3_clean_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 4: sentences that render each other -----------------------------------------
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.align import aligned_units
+    """One pass over the texts gives both the votes and the words."""
+    from lectern.llm.align import _COLUMNS, aligned, dealt, prepared
     from lectern.llm.arrowio import cut
-    from lectern.llm.pairs import first_defect
+    from lectern.llm.pairs import first_defect, read_pairs, result_model, targets_of, votes_of
 
-    votes = cut(_votes(spark, sf_dir))
+    segments = read(spark, sf_dir, "segments", "id", "job_id", "status", "source_text", "result_text", "error_message")
+    targets = targets_of(read(spark, sf_dir, "jobs", "id", "kind", "options"))
+    rows = read_pairs(segments, result_model(segments, targets), prepared, _COLUMNS)
+    votes = cut(votes_of(rows, targets))
     sound = votes.where("status = 'completed'").join(first_defect(votes).withColumnRenamed("segment_id", "id"), "id", "left_anti")
-    segments = read(spark, sf_dir, "segments", "id", "status", "source_text", "result_text").where("status = 'completed'")
-    return aligned_units(segments, sound.select("id", "sl", "target_lang"))
+    return aligned(dealt(rows, sound.select("id", "sl", "target_lang")))
 
 
 # --- 5: sentence units -----------------------------------------------------------
