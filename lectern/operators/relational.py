@@ -139,13 +139,24 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return joined.withColumn(out, F.col("_i") + F.col("_before") + 1).drop("_p", "_i", "_before")
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+#: Rows of a key that one task may sort.
+HOT_ROWS = 200_000
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Places from 1 of the rows of each key, like ``row_number`` but without a
-    task that holds a whole key: numbers of all rows less the first of the key.
-    Keys and order together have no ties."""
-    all_rows = numbered(df, [*keys, *order], "_n")
-    first = all_rows.groupBy(*keys).agg(F.min("_n").alias("_first"))
-    return all_rows.join(first, keys).withColumn(out, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
+    task that holds a key of more than ``hot_rows`` rows: these are numbered over all
+    partitions, less the first number of their key.  Keys, which aren't NULL, and
+    order together have no ties."""
+    ordinary = lambda rows: rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return ordinary(df)
+    hot = cut(hot)  # no more keys than rows / hot_rows
+    numbers = numbered(df.join(hot, keys, "left_semi"), [*keys, *order], "_n")
+    first = numbers.groupBy(*keys).agg(F.min("_n").alias("_first"))
+    spread_out = numbers.join(first, keys).withColumn(out, F.col("_n") - F.col("_first") + 1)
+    return ordinary(df.join(hot, keys, "left_anti")).unionByName(spread_out.select(*df.columns, out))
 
 
 def typed(df: DataFrame, schema: str) -> DataFrame:

@@ -7,8 +7,10 @@ needed; else the package goes with the job as a ZIP file.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -35,7 +37,9 @@ def ship(spark: SparkSession) -> None:
     for f in _sources():
         with open(f, "rb") as src:
             digest.update(src.read())
-    at = os.path.join(tempfile.mkdtemp(), f"lectern-{digest.hexdigest()[:12]}.zip")
+    folder = tempfile.mkdtemp()  # the driver's own; executors fetch the file from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = os.path.join(folder, f"lectern-{digest.hexdigest()[:12]}.zip")
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for f in _sources():
             z.write(f, os.path.relpath(f, ROOT))

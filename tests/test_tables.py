@@ -109,7 +109,8 @@ def test_upserted(spark):
 def test_placed_and_numbered(spark):
     rows = [(k, v) for k in range(5) for v in range(40 if k == 2 else 3)]
     df = spark.createDataFrame(rows, "k int, v int").repartition(3)
-    assert sorted((r.k, r.v, r.p) for r in relational.placed(df, ["k"], ["v"], "p").collect()) == [(k, v, v + 1) for k, v in rows]
+    for hot in (10, 1, 1000):  # one hot key, all, none
+        assert sorted((r.k, r.v, r.p) for r in relational.placed(df, ["k"], ["v"], "p", hot).collect()) == [(k, v, v + 1) for k, v in rows]
     assert sorted(r.n for r in relational.numbered(df, ["k", "v"], "n").collect()) == list(range(1, len(rows) + 1))
     assert relational.placed(df.limit(0), ["k"], ["v"], "p").count() == 0
 
