@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm import align, langid, leaks, lines, look, packing, pairs, pieces, units  # noqa: F401 - a missing library is told here, not by a query
 from lectern.llm.arrowio import map_texts, read, str_col
 
 
