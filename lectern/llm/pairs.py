@@ -97,10 +97,12 @@ def filler(text: str) -> bool:
 
 def only_names(text: str) -> bool:
     """Names and figures (every word capitalised, no stop mark), or filler."""
-    words = _WORD.findall(text)
-    if not words:
-        return True
-    return all(w[0].isupper() for w in words) and not _STOP_END.search(text) or filler(text)
+    upper = True
+    for m in _WORD.finditer(text):
+        if not m[0][0].isupper():
+            upper = False
+            break
+    return upper and (not _STOP_END.search(text) or not _WORD.search(text)) or filler(text)
 
 
 #: What must stand in a text for the refusal patterns to be tried.
@@ -206,9 +208,9 @@ def _read(model: Model, b: pa.RecordBatch, prepare: Callable | None) -> dict[str
         if r["id"] is None:
             continue
         s, t, done = src[i], res[i], r["status"] == "completed"
-        plain = INVISIBLE.sub("", t).strip()
         said = t if done else r["error_message"] or ""
         ft = folded(t)
+        plain = INVISIBLE.sub("", t).strip() if len(set(ft)) < 7 else ft  # more is never empty
         row = {
             "id": r["id"], "job_id": r["job_id"], "status": r["status"], "refusal": _refusal_bits(said),
             "empty_bits": (not ft) | (len(plain) <= 6) << 1 | (len(set(plain)) < 2) << 2 if done else 0,
