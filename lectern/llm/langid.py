@@ -207,24 +207,23 @@ class Model:
         return np.where(ok, best, -1), top, lead, best, rival
 
 
-def _dense(key: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
-    x = np.zeros((n, 1 << BITS), dtype=np.float32)
-    first = np.flatnonzero(np.diff(key, prepend=-1))  # sorted
+def _weighted(key: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, feature, weight) of sorted keys; each owner's vector has length 1."""
+    first = np.flatnonzero(np.diff(key, prepend=-1))
     tf = np.diff(np.append(first, len(key)))
     f = key[first]
     who, f = f >> BITS, f & ((1 << BITS) - 1)
     w = (1 + np.log(tf)) * idf[f]
     norm = np.sqrt(np.bincount(who, weights=w * w, minlength=n))
-    x[who, f] = w / np.maximum(norm[who], 1e-9)
-    return x
+    return who, f, (w / np.maximum(norm[who], 1e-9)).astype(np.float32)
 
 
-def _clustered(own: np.ndarray, m: int, starts: int = STARTS) -> np.ndarray:
-    """Centroids of rows of length 1: spherical k-means from far-apart starts,
-    the run of least loss."""
+def _clustered(own: np.ndarray, gram: np.ndarray, m: int, starts: int = STARTS) -> np.ndarray:
+    """Centroids of rows of length 1 (``gram``: their products): spherical k-means
+    from far-apart starts, the run of least loss."""
     if m < 2:
         return _unit(own.sum(0))[None]
-    gram = own @ own.T  # all the runs need: a centroid is a sum of rows
+    # The products are all the runs need: a centroid is a sum of rows.
     best, least = None, np.inf
     for seed in range(starts):
         rng = np.random.default_rng(seed)
@@ -265,9 +264,12 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, lead: float | Non
     df = np.bincount(doc_key[np.diff(doc_key, prepend=-1) > 0] & ((1 << BITS) - 1), minlength=1 << BITS)
     idf = (np.log((1 + n) / (1 + df)) + 0.3).astype(np.float32)
 
-    def single(keep: np.ndarray, x: np.ndarray) -> Model:
-        c = np.stack([_unit(x[(y == k) & keep].sum(0)) for k in range(len(LANGS))])
-        return Model(idf, np.ascontiguousarray(c.T), np.arange(len(LANGS)))
+    def single(keep: np.ndarray, rows_of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Model:
+        """One centroid a language."""
+        owner, f, w = rows_of
+        sums = np.bincount(y[owner] << BITS | f, weights=w * keep[owner], minlength=len(LANGS) << BITS).reshape(len(LANGS), -1)
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        return Model(idf, np.ascontiguousarray(c.T.astype(np.float32)), np.arange(len(LANGS)))
 
     def judged(model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Each part's language, and the share of its letters that a document's
@@ -277,33 +279,44 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, lead: float | Non
         claimed = np.bincount(who, weights=np.where(lang == y[who], size, 0), minlength=n)
         return np.where(lead >= OWN_LEAD, lang, -1), claimed / np.maximum(np.bincount(who, weights=np.where(lang >= 0, size, 0), minlength=n), 1)
 
-    x = _dense(doc_key, n, idf)
+    x = _weighted(doc_key, n, idf)
     keep = np.bincount(who, weights=size, minlength=n) > 0
     for _ in range(3):  # rows put aside that another language claims
-        cos = x @ single(keep, x).weights
+        cos = single(keep, x).cosines(doc_key, n)
         keep = (cos.argmax(1) == y) & (np.bincount(who, weights=size, minlength=n) > 0)
         keep[: len(SEEDS)] = True
     for _ in range(2):  # each document without its sentences in other languages
         lang, share = judged(single(keep, x))
         own = (lang == y[who]) | (who < len(SEEDS))
-        x = _dense(np.sort((who[part] << BITS | feature)[own[part]]), n, idf)
+        x = _weighted(np.sort((who[part] << BITS | feature)[own[part]]), n, idf)
         keep = (share > 0.5) & (np.bincount(who[own], minlength=n) > 0)
         keep[: len(SEEDS)] = True
 
-    def clustered(use: np.ndarray) -> Model:
-        cents, langs = [], []
+    def clustered(*uses: np.ndarray) -> list[Model]:
+        """A model of each choice of rows; one language's rows at a time are dense."""
+        cents: list[list] = [[] for _ in uses]
+        langs: list[list] = [[] for _ in uses]
+        owner, f, w = x
         for k in range(len(LANGS)):
-            rows_of = x[(y == k) & use]
-            c = _clustered(rows_of, min(clusters, max(1, len(rows_of) // CLUSTER_DOCS)))
-            cents += [*c]
-            langs += [k] * len(c)
-        return Model(idf, np.ascontiguousarray(np.stack(cents).T), np.asarray(langs))
+            rows_of = np.flatnonzero(y == k)
+            place = np.full(n, -1)
+            place[rows_of] = np.arange(len(rows_of))
+            mine = np.flatnonzero(place[owner] >= 0)
+            dense = np.zeros((len(rows_of), 1 << BITS), dtype=np.float32)
+            dense[place[owner[mine]], f[mine]] = w[mine]
+            gram = dense @ dense.T
+            for use, c, lang in zip(uses, cents, langs):
+                i = np.flatnonzero(use[rows_of])
+                got = _clustered(dense[i], gram[np.ix_(i, i)], min(clusters, max(1, len(i) // CLUSTER_DOCS)))
+                c += [*got]
+                lang += [k] * len(got)
+        return [Model(idf, np.ascontiguousarray(np.stack(c).T), np.asarray(lang)) for c, lang in zip(cents, langs)]
 
     if lead is not None:
-        whole = clustered(keep)
+        (whole,) = clustered(keep)
         return Model(idf, whole.weights, whole.langs, np.full((len(LANGS), len(LANGS)), lead))
     # What rivals reach in held-out documents that are otherwise of one language.
-    trial = clustered(keep & ~held)
+    trial, whole = clustered(keep & ~held, keep)
     cos = _cosines(trial, key, part, len(parts))
     lang, _, led, *_ = trial.decided(cos, size, signs)
     share = judged(trial)[1]
@@ -316,7 +329,6 @@ def fit(rows: list[tuple[str, str]], clusters: int = CLUSTERS, lead: float | Non
             most = int(MISTAKES * own.sum())
             if len(wrong) > most:
                 leads[a, b] = min(MOST_LEAD, max(MIN_LEAD, float(wrong[most]) + 0.005))
-    whole = clustered(keep)
     return Model(idf, whole.weights, whole.langs, leads)
 
 
