@@ -83,7 +83,8 @@ def collapse_silence(
 
 def merged(df: DataFrame, keys: list[str], order: str, samples: str = "samples") -> DataFrame:
     """Samples of each key in order; only keys whose parts share channels,
-    sample width and rate."""
+    sample width and rate.  A key's sound is one value, put together by one task:
+    its parts are bounded by the length of one sound."""
     params = F.struct("channels", "sample_width", "sample_rate")
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(samples).alias("s"))))
     got = df.groupBy(*keys).agg(F.min(params).alias("_a"), F.max(params).alias("_b"), F.flatten(F.transform(parts, lambda p: p.s)).alias(samples), F.count("*").alias("parts"))

@@ -58,6 +58,9 @@ def stripped_pieces(pieces: Column) -> Column:
 
 
 def reassembled(df: DataFrame, keys: list[str], order: str, text: str, sep: str = "\n\n", out: str = "text") -> DataFrame:
-    """Texts of each key in order, NULL as an empty one."""
+    """Texts of each key in order, NULL as an empty one.
+
+    The result of a key is one value, put together by one task: a key's rows are
+    bounded by what is one text (the pieces of a chapter or job), not by the table."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))))
     return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r.t), sep).alias(out))

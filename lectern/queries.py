@@ -65,6 +65,7 @@ def s_null(x: str) -> str:
     return f"nullif({s_strip(x)}, '')"
 
 
+# The patterns of cleaning.py and chapters.py in RE2's spelling.
 _PAD = rf"[{WS}:：\-—_=*【】\[\]（）()《》<>|]*"
 _ADDRESS = rf"(?i)^{_PAD}(?:https?://[^{WS}]+|www\.[^{WS}]+|[A-Za-z0-9-]+\.(?:{cleaning.DOMAINS})(?:/[^{WS}]*)?){_PAD}$"
 _MARK = "(?i)(本书来自|扫码关注|关注公众号|微信公众号|水印|更多精彩|下载地址|小说下载|仅供.*交流)"
@@ -338,6 +339,7 @@ def tvf_split_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("book_id", "c.title", F.md5(F.col("c.text").cast("binary")).alias("text_md5"))
 
 
+# The forms of headings in RE2's spelling.
 _NUM, _ROM = r"[零〇一二三四五六七八九十百千万两\p{Nd}]+", "[IVXLCDM]+"
 _HEAD = rf"(?i)^(?:第{_NUM}[{WS}]*[章节回卷部篇].*|卷[{WS}]*{_NUM}.*|(?:Chapter|Section|Part|Book)[{WS}]+(?:\p{{Nd}}+|{_ROM})(?:[^\p{{L}}\p{{N}}_].*)?|(?:\p{{Nd}}+|{_ROM})[.)、][{WS}]+[^{WS}].*|(?:序|序章|序言|前言|楔子|尾声|后记))$"
 
