@@ -1,7 +1,9 @@
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from lectern.llm.lines import line_bitmaps, line_key, pack, repeated_lines, site_lines, unite, unpack, without_lines
@@ -60,6 +62,24 @@ def test_unicode_confusables(spark):
     assert consistent_form("Г\u006fра, \u0059тро и го\u0433од", looks) == "Гора, Утро и гогод" == consistent_form("Гора, Утро и го\u0072од", looks)
 
 
+def test_a_session_without_icu_is_an_error(spark):
+    """No JVM, a JVM without ICU and one that fails: never the smaller fixed table."""
+
+    class Session:
+        def __init__(self, jvm):
+            self._jvm = jvm
+
+    def fails():
+        raise Py4JError("lost")
+
+    icu = lambda text: SimpleNamespace(com=SimpleNamespace(ibm=SimpleNamespace(icu=SimpleNamespace(text=text))))
+    for jvm in (None, icu(spark._jvm.no.such.text), icu(SimpleNamespace(**{"SpoofChecker$Builder": fails}))):
+        for _ in range(2):  # nor on a second call
+            with pytest.raises(RuntimeError, match="ICU"):
+                looks_of(Session(jvm))
+    assert len(looks_of(spark).alike) > 150
+
+
 def test_classes_and_split_groups(spark):
     rows = [(i, "paper" if i % 2 else "pаper") for i in range(60)] + [(100, "x"), (101, "x"), (102, None)]
     prints = look_prints(spark.createDataFrame(rows, "id bigint, t string"), "id", "t").withColumn("k", F.lit("x"))
