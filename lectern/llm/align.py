@@ -11,9 +11,10 @@
 
 Both dynamic programmes look within a band about the diagonal, which is made
 wider until the best path stays clear of its edge or nothing is left out.  What
-words explain of each other is kept for pairs of units that share any, words of
-more than ``FAR`` units for near pairs only, so a long text needs no matrix of all
-its units.
+words explain of each other is kept for pairs of units that share any; of a text of
+more than ``WHOLE`` pairs for those within the band only.  Its units left over are
+compared with all others one unit at a time, so no word is passed over and no text
+needs a matrix of all its units.
 
 Words are hashed into 2^14 buckets; a table keeps the translations of at least
 ``MIN_PROB``.  The tables stay in the shared folder, a part per language pair; rows
@@ -33,6 +34,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -334,13 +336,11 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> str | None:
     return path
 
 
-#: A word of more units than this counts only for units that are no further off than
-#: so many: in a long text, words of all units tell nothing of units moved far.
-FAR = 64
-
-
-def _near(units: list[int], at: int) -> list[int]:
-    return units if len(units) <= FAR else units[bisect_left(units, at - FAR) : bisect_right(units, at + FAR)]
+#: Up to so many pairs of units, all are held at once; of longer texts those about the
+#: diagonal are, and the others are worked out by unit where they are asked for.
+WHOLE = 1 << 14
+#: Counterparts of a moved unit listed at a time, and candidates for parts of units held.
+_LISTED, _PARTS = 64, 4_000_000
 
 
 class _Shared:
@@ -372,23 +372,114 @@ class _Shared:
                     d = self.by_t[j]
                     if w > d.get(word, 0.0):
                         d[word] = w
+        self.s_in, self.t_in, self.n, self.m = s_in, t_in, n, m
         # Mean explanation of a unit's words by a unit of the other side.
         self.t_mean: dict[tuple[int, int], float] = {}  # words of j explained by i
         self.s_mean: dict[tuple[int, int], float] = {}  # words of i explained by j
+        self.width = -1
+        self.whole = n * m <= WHOLE
+        if self.whole:
+            self.fill(n + m)
+
+    def fill(self, width: int) -> bool:
+        """The means of all pairs no further than ``width`` from the diagonal; whether any
+        were wanting."""
+        if width <= self.width:
+            return False
+        n, m, all_of = self.n, self.m, width >= max(self.n, self.m)
+        self.width = width
+        self.t_mean.clear()
+        self.s_mean.clear()
         for i, d in enumerate(self.by_s):
             sums: dict[int, float] = {}
+            lo, hi = i * m // n - width, i * m // n + width
             for t, w in d.items():
-                for j in _near(t_in[t], i * m // n):
+                units = self.t_in[t]
+                for j in units if all_of else units[bisect_left(units, lo) : bisect_right(units, hi)]:
                     sums[j] = sums.get(j, 0.0) + w
             for j, w in sums.items():
                 self.t_mean[i, j] = w / len(self.t[j])
         for j, d in enumerate(self.by_t):
             sums = {}
+            lo, hi = -((width - j) * n // m), -(-(j + width + 1) * n // m)  # first one, first beyond
             for word, w in d.items():
-                for i in _near(s_in[word], j * n // m):
+                units = self.s_in[word]
+                for i in units if all_of else units[bisect_left(units, lo) : bisect_left(units, hi)]:
                     sums[i] = sums.get(i, 0.0) + w
             for i, w in sums.items():
                 self.s_mean[i, j] = w / len(self.s[i])
+        return True
+
+
+class _Rows:
+    """The means of one source unit and all of some target units (``places``), added up
+    in the order of ``_Shared.fill``."""
+
+    def __init__(self, shared: _Shared, places: list[int]) -> None:
+        self.shared = shared
+        at: dict[int, list[int]] = {}
+        explained: dict[int, tuple[list[int], list[float]]] = {}
+        for k, j in enumerate(places):
+            for t in shared.t[j]:
+                at.setdefault(t, []).append(k)
+            for word, w in shared.by_t[j].items():
+                own = explained.setdefault(word, ([], []))
+                own[0].append(k)
+                own[1].append(w)
+        self.at = {t: np.asarray(x) for t, x in at.items()}
+        self.explained = {word: (np.asarray(x), np.asarray(w)) for word, (x, w) in explained.items()}
+        self.rank = {word: k for k, word in enumerate(shared.s_in)}
+        self.length = np.maximum([len(shared.t[j]) for j in places], 1)
+
+    def t(self, i: int) -> np.ndarray:
+        """``t_mean`` of source unit i."""
+        got = np.zeros(len(self.length))
+        for t, w in self.shared.by_s[i].items():
+            if (k := self.at.get(t)) is not None:
+                got[k] += w
+        return got / self.length
+
+    def s(self, i: int) -> np.ndarray:
+        """``s_mean`` of source unit i."""
+        got = np.zeros(len(self.length))
+        for word in sorted((w for w in self.shared.s[i] if w in self.explained), key=self.rank.__getitem__):
+            k, w = self.explained[word]
+            got[k] += w
+        return got / max(len(self.shared.s[i]), 1)
+
+
+def _moved(free_s: list[int], free_t: list[int], gains: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Free units paired by gain (of a source unit and all of ``free_t``), best first, then
+    by place: what sorting all pairs of a gain above 0 gives, with no more than the next
+    few of each unit held."""
+    is_free = np.ones(len(free_t), dtype=bool)
+    listed: dict[int, tuple[np.ndarray, np.ndarray, bool]] = {}
+    queue: list[tuple[float, int, int]] = []
+
+    def listing(x: int) -> None:
+        g = gains(x)
+        at = np.flatnonzero(is_free & (g > 0))
+        if len(at):
+            order = at[np.argsort(-g[at], kind="stable")]
+            listed[x] = order[:_LISTED], g[order[:_LISTED]], len(order) > _LISTED
+            heappush(queue, (-float(listed[x][1][0]), x, 0))
+
+    for x in free_s:
+        listing(x)
+    pairs = []
+    while queue:
+        _, x, k = heappop(queue)
+        places, g, more = listed[x]
+        if is_free[places[k]]:
+            pairs.append((x, free_t[places[k]]))
+            is_free[places[k]] = False
+            continue
+        left = np.flatnonzero(is_free[places[k:]])
+        if len(left):
+            heappush(queue, (-float(g[k + left[0]]), x, k + int(left[0])))
+        elif more:
+            listing(x)
+    return pairs
 
 
 def realign(lex: Lexicon, row: dict, band: int = BAND) -> list[tuple[int, int]]:
@@ -411,10 +502,11 @@ def realign(lex: Lexicon, row: dict, band: int = BAND) -> list[tuple[int, int]]:
             if s_n[i] and t_n[j]:
                 length = LENGTH * (0.3 - abs(logs[1][j] - logs[0][i]))
                 got = ((t_mean.get(k, 0.0) + s_mean.get(k, 0.0)) / 2 - NEED + length) * (s_n[i] + t_n[j])
-            known[k] = got
+            if shared.whole:  # a long text's pairs are asked for about once
+                known[k] = got
         return got
 
-    if n == m:
+    if n == m and shared.whole:
         # Each unit is best explained by its counterpart and no other one could
         # be a part of it: nothing but the diagonal can be the best alignment.
         own = [one(k, k) for k in range(n)]
@@ -449,10 +541,14 @@ def realign(lex: Lexicon, row: dict, band: int = BAND) -> list[tuple[int, int]]:
         return one(i, j) if di == dj == 1 else two_one(i, i + 1, j) if di == 2 else one_two(i, j, j + 1)
 
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    strong_s, strong_t = {k for k, w in s_mean.items() if w >= PART}, {k for k, w in t_mean.items() if w >= PART}
+    strong_s: set[tuple[int, int]] = set()
+    strong_t: set[tuple[int, int]] = set()
     never = (-1e18, 0, 0)
 
     def path(band: int) -> list[tuple[int, int]]:
+        if shared.fill(band + 2 * (m // n + 1) + 3) or not best:  # units of beads that reach in from outside, too
+            strong_s.update(k for k, w in s_mean.items() if w >= PART)
+            strong_t.update(k for k, w in t_mean.items() if w >= PART)
         best.clear()
         best[0, 0] = (0.0, 0, 0)
         get = best.get
@@ -489,32 +585,88 @@ def realign(lex: Lexicon, row: dict, band: int = BAND) -> list[tuple[int, int]]:
     # Units moved elsewhere: only those that share words can be counterparts.
     free_s, free_t = set(range(n)) - {x for x, _ in pairs}, set(range(m)) - {y for _, y in pairs}
     if free_s and free_t:
-        left = sorted((-one(x, y), x, y) for x, y in {*t_mean, *s_mean} if x in free_s and y in free_t)
-        for g, x, y in left:
-            if g < 0 and x in free_s and y in free_t:
-                pairs.append((x, y))
-                free_s.remove(x)
-                free_t.remove(y)
+        if shared.whole:
+            left = sorted((-one(x, y), x, y) for x, y in {*t_mean, *s_mean} if x in free_s and y in free_t)
+            moved = []
+            for g, x, y in left:
+                if g < 0 and x in free_s and y in free_t:
+                    moved.append((x, y))
+                    free_s.remove(x)
+                    free_t.remove(y)
+        else:
+            places = sorted(free_t)
+            rows, log_t, n_t = _Rows(shared, places), np.asarray([logs[1][y] for y in places]), np.asarray([t_n[y] for y in places])
+
+            def gains(x: int) -> np.ndarray:
+                """``one`` of a source unit and the free target units."""
+                length = LENGTH * (0.3 - np.abs(log_t - logs[0][x]))
+                got = ((rows.t(x) + rows.s(x)) / 2 - NEED + length) * (s_n[x] + n_t)
+                return np.where((n_t > 0) & (s_n[x] > 0), got, -1.0)
+
+            moved = _moved(sorted(free_s), places, gains)
+            free_s -= {x for x, _ in moved}
+            free_t -= {y for _, y in moved}
+        pairs += moved
     # Parts of a unit that already has its counterpart, best first.  A target
     # unit nearly always renders something; a source unit may be left out.
-    near_t: dict[int, list[tuple[float, int]]] = {}
-    for (x, y), w in t_mean.items():
-        near_t.setdefault(y, []).append((w, x))
-    near_s: dict[int, list[tuple[float, int]]] = {}
-    for (x, y), w in s_mean.items():
-        near_s.setdefault(x, []).append((w, y))
-    top = lambda near, k: -max((w for w, _ in near.get(k, ())), default=0.0)
-    for y in sorted(free_t, key=lambda y: (top(near_t, y), y)):
-        x = _whole(near_t.get(y, []), {i: [q for p, q in pairs if p == i] for _, i in near_t.get(y, [])}, by_t, y, s_of, PART - 0.1, ADDS / 2)
+    of_s: dict[int, list[int]] = {}
+    of_t: dict[int, list[int]] = {}
+    for x, y in pairs:
+        of_s.setdefault(x, []).append(y)
+        of_t.setdefault(y, []).append(x)
+    for y, near in _candidates(shared, free_t, 1, PART - 0.1):
+        x = _whole(near, of_s, by_t, y, s_of, PART - 0.1, ADDS / 2)
         if x is not None:
             pairs.append((x, y))
-    for x in sorted(free_s, key=lambda x: (top(near_s, x), x)):
-        y = _whole(near_s.get(x, []), {j: [p for p, q in pairs if q == j] for _, j in near_s.get(x, [])}, by_s, x, t_of, PART + 0.05, ADDS)
+            of_s.setdefault(x, []).append(y)
+            of_t.setdefault(y, []).append(x)
+    for x, near in _candidates(shared, free_s, 0, PART + 0.05):
+        y = _whole(near, of_t, by_s, x, t_of, PART + 0.05, ADDS)
         if y is not None:
             pairs.append((x, y))
+            of_t.setdefault(y, []).append(x)
     return sorted(pairs)
 
 
+def _candidates(shared: _Shared, free: set[int], side: int, part: float) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """The free source (``side`` 0) or target units (1), the best explained first, each
+    with the units of the other side that explain it by ``part`` at least: how far, which."""
+    if not free:
+        return
+    near: dict[int, list[tuple[float, int]]] = {}
+    if shared.whole:
+        for k, w in (shared.t_mean if side else shared.s_mean).items():
+            if k[side] in free:
+                near.setdefault(k[side], []).append((w, k[1 - side]))
+        for k in sorted(free, key=lambda k: (-max((w for w, _ in near.get(k, ())), default=0.0), k)):
+            yield k, near.get(k, [])
+        return
+    places = np.asarray(sorted(free))
+    if not side:
+        rows = _Rows(shared, list(range(shared.m)))
+        for x in places[np.argsort([-rows.s(x).max() for x in places], kind="stable")].tolist():
+            row = rows.s(x)
+            at = np.flatnonzero(row >= part)
+            yield x, list(zip(row[at].tolist(), at.tolist()))
+        return
+    rows = _Rows(shared, places.tolist())
+    top, many = np.zeros(len(places)), np.zeros(len(places), dtype=np.int64)
+    for x in range(shared.n):
+        row = rows.t(x)
+        np.maximum(top, row, out=top)
+        many += row >= part
+    order = np.argsort(-top, kind="stable")
+    group = np.cumsum(many[order]) // _PARTS
+    for g in np.unique(group):  # as many units at a time as there is room for
+        own = places[order[group == g]].tolist()
+        rows, near = _Rows(shared, own), {y: [] for y in own}
+        for x in range(shared.n):
+            row = rows.t(x)
+            for k in np.flatnonzero(row >= part).tolist():
+                near[own[k]].append((float(row[k]), x))
+        yield from near.items()
+
+
 def _whole(near: list[tuple[float, int]], others: dict[int, list[int]], explains: list[dict[int, float]], own: int, places: list[list[int]], part: float, adds: float) -> int | None:
     """The unit of which ``own``, left over, is a part: the one it is most explained by
     (``near``: how far, which) and adds to what that unit's counterparts (``others``)

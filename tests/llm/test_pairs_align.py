@@ -281,6 +281,66 @@ def test_long_texts_need_no_matrix():
     assert align.realign(lex, row) == [(k, k) for k in range(5000)]
 
 
+def _row(src, tgt):
+    s, t = " ".join(src), " ".join(tgt)
+    return align.prepared(s, t, align.units_of([s])[0], align.units_of([t])[0])
+
+
+def _letters(k):
+    return "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+
+
+def test_moved_unit_of_words_that_stand_everywhere():
+    """First to last among 300 units: each of its words stands in 75 others."""
+    common = ["red", "green", "blue", "grey"]
+    rest = [f"{common[k % 4].title()} item{_letters(k)} thing{_letters(k)} stone{_letters(k)}." for k in range(299)]
+    first = "Red green blue grey."
+    got = align.realign(align.NO_WORDS, _row([first, *rest], [*rest, first]))
+    assert got == sorted([(0, 299), *((k + 1, k) for k in range(299))])
+
+
+def test_part_of_a_far_unit_of_words_that_stand_everywhere():
+    """Its other half stands where its counterpart does."""
+    common = ["Red", "green", "blue", "grey"]
+    rest = [f"{common[k % 4].title()} item{_letters(k)} thing{_letters(k)} stone{_letters(k)}." for k in range(299)]
+    src = ["Lamp river cloud red green blue grey.", *rest]
+    got = align.realign(align.NO_WORDS, _row(src, ["Lamp river cloud.", *rest, "Red green blue grey."]))
+    assert {(0, 0), (0, 300)} <= set(got) and len(got) == 301
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_long_texts_are_aligned_as_short_ones(monkeypatch, seed):
+    """All pairs held at once or by unit: the same means, bit by bit, and the same pairs."""
+    r = random.Random(seed)
+    words = [f"word{_letters(k)}" for k in range(30 + 20 * (seed % 4))]
+    lex = align.Lexicon(np.asarray([align.word_id(r.choice(words)) << align.BITS | align.word_id(r.choice(words)) for _ in range(60)]), np.asarray([r.random() for _ in range(60)]))
+    src = [" ".join(r.choice(words) for _ in range(r.randint(1, 9))).capitalize() + "." for _ in range(90 + seed)]
+    tgt = [" ".join(sorted(x[:-1].lower().split(), key=lambda _: r.random())).capitalize() + "." if r.random() < 0.8 else r.choice(src) for x in src]
+    for _ in range(seed):
+        k = r.randrange(len(tgt) - 9)
+        tgt[k : k + 2] = [tgt[k][:-1] + " " + tgt[k + 1].lower()]
+        src.insert(r.randrange(len(src)), r.choice(tgt))
+        block = [tgt.pop(r.randrange(len(tgt))) for _ in range(r.randint(1, 9))]
+        tgt += block
+    row = _row(src, tgt)
+    monkeypatch.setattr(align, "WHOLE", 1 << 30)
+    short, pairs = align._Shared(lex, row), align.realign(lex, row)
+    places = list(range(short.m))
+    rows = align._Rows(short, places)
+    for i in range(short.n):
+        assert rows.t(i).tolist() == [short.t_mean.get((i, j), 0.0) for j in places]
+        assert rows.s(i).tolist() == [short.s_mean.get((i, j), 0.0) for j in places]
+    near = lambda d, width: {k: v for k, v in d.items() if abs(k[1] - k[0] * short.m // short.n) <= width}
+    monkeypatch.setattr(align, "WHOLE", 0)
+    long = align._Shared(lex, row)
+    for width in (3, 40):
+        long.fill(width)
+        assert long.t_mean == near(short.t_mean, width) and long.s_mean == near(short.s_mean, width)
+    monkeypatch.setattr(align, "_LISTED", 2)
+    monkeypatch.setattr(align, "_PARTS", 7)
+    assert align.realign(lex, row) == pairs
+
+
 def test_beads_by_length():
     """A first unit moved to the end shifts all beads; unit counts may differ much."""
     a = [30, 48, 33, 50, 29, 47, 34, 51, 31, 49, 35, 52]
